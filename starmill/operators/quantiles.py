@@ -1,0 +1,58 @@
+"""Percentiles of very large numeric columns with a bounded error in rank, mergeable.
+
+KLL sketches (Karnin, Lang, Liberty 2016): a hierarchy of compactors, each of which sorts its buffer and keeps
+every other value at random; sketches merge level by level.  The JVM's own aggregate builds them, so no row
+leaves the executors' generated code; a group of any size is a few kB, partial sketches are merged map-side.
+
+With k = 200 a percentile's rank is off by at most 1.33 % of the count with 99 % confidence, and by at most
+RANK_BOUND (twice that) in all but about one of ten million cases.  Up to k values are held exactly.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+K = 200
+RANK_BOUND = 0.0266
+PERCENTILES = (0.5, 0.9, 0.99)
+#: Sketches a task holds by hash before it falls back to sorting its rows.
+HELD = 20_000
+
+
+def build_sketches(df: DataFrame, by: list[str], values: dict[str, Column], k: int = K) -> DataFrame:
+    """(by..., <name>_sketch for each value): one sketch a group; null and NaN values are left out."""
+    df.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", HELD)
+    clean = df.select(*by, *[F.when(~F.isnan(v.cast("double")), v.cast("double")).alias(f"__{n}") for n, v in values.items()])
+    return clean.groupBy(*by).agg(*[F.kll_sketch_agg_double(f"__{n}", F.lit(k)).alias(f"{n}_sketch") for n in values])
+
+
+def roll_up(sketches: DataFrame, groupings: dict[str, Column], names: list[str], k: int = K) -> DataFrame:
+    """(grouping, key string, <name>_sketch...): finer sketches merged to each of ``groupings``."""
+    each = F.array(*[F.struct(F.lit(g).alias("grouping"), c.cast("string").alias("key")) for g, c in groupings.items()])
+    long = sketches.withColumn("g", F.explode(each)).select("g.*", *[f"{n}_sketch" for n in names])
+    return long.groupBy("grouping", "key").agg(*[F.kll_merge_agg_double(f"{n}_sketch", F.lit(k)).alias(f"{n}_sketch") for n in names])
+
+
+def percentiles(sketches: DataFrame, by: list[str], names: list[str], ranks: tuple[float, ...] = PERCENTILES) -> DataFrame:
+    """(by..., column_name, n, p50, ...): percentiles of each sketch; null where it holds no value."""
+    one = lambda n: F.struct(F.lit(n).alias("column_name"), F.col(f"{n}_sketch").alias("sketch"))
+    long = sketches.withColumn("s", F.explode(F.array(*[one(n) for n in names]))).select(*by, "s.*").withColumn("n", F.kll_sketch_get_n_double("sketch"))
+    return long.select(*by, "column_name", "n", *[F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(r))).alias(f"p{round(100 * r)}") for r in ranks])
+
+
+def rank_errors(df: DataFrame, estimates: DataFrame, groupings: dict[str, Column], values: dict[str, Column]) -> DataFrame:
+    """(grouping, key, column_name, n, worst): how far in rank, as a share of n, the estimates are off.
+
+    A value that is repeated covers a run of ranks; the error is the distance to the nearest of them.
+    """
+    each = F.array(*[F.struct(F.lit(g).alias("grouping"), F.coalesce(c.cast("string"), F.lit("\0")).alias("key")) for g, c in groupings.items()])
+    cols = F.array(*[F.struct(F.lit(n).alias("column_name"), v.cast("double").alias("v")) for n, v in values.items()])
+    long = df.select(each.alias("g"), F.explode(cols).alias("c")).where(F.col("c.v").isNotNull() & ~F.isnan("c.v")).select(F.explode("g").alias("g"), "c").select("g.*", "c.*")
+    counted = long.groupBy("grouping", "key", "column_name", "v").agg(F.count(F.lit(1)).alias("m"))
+    est = estimates.where("n > 0").withColumn("key", F.coalesce("key", F.lit("\0")))
+    joined = counted.join(est, ["grouping", "key", "column_name"])
+    names = [f"p{round(100 * r)}" for r in PERCENTILES]
+    sums = joined.groupBy("grouping", "key", "column_name", "n").agg(*[F.sum(F.when(F.col("v") < F.col(p), F.col("m")).otherwise(0)).alias(f"{p}_lt") for p in names], *[F.sum(F.when(F.col("v") <= F.col(p), F.col("m")).otherwise(0)).alias(f"{p}_le") for p in names])
+    off = [F.greatest(F.col(f"{p}_lt") - F.col("n") * r, F.col("n") * r - F.col(f"{p}_le"), F.lit(0.0)) / F.col("n") for p, r in zip(names, PERCENTILES, strict=True)]
+    return sums.select("grouping", F.when(F.col("key") != "\0", F.col("key")).alias("key"), "column_name", "n", F.greatest(*off).alias("worst"))

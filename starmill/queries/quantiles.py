@@ -1,0 +1,59 @@
+"""Problem 3: percentiles of magnitude and nobs per band, load and day.
+
+Left out: nulls, NaN, magnitudes outside -2..30 (sentinels such as 99.99 and -99, infinities), and nobs below 1
+(no observation).  Bands are told apart without regard to case and blanks; a null band is a group of its own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from starmill.operators.quantiles import RANK_BOUND, build_sketches, percentiles, rank_errors, roll_up
+from starmill.queries import table
+
+NAMES = ["magnitude", "nobs"]
+
+
+def _values() -> dict:
+    return {"magnitude": F.when(F.col("magnitude").between(-2.0, 30.0), F.col("magnitude")), "nobs": F.when(F.col("nobs") >= 1, F.col("nobs"))}
+
+
+def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "spatial_index")
+    return t.select(F.lower(F.trim("band")).alias("band"), "load_id", F.to_date("observed_at").alias("day"), "magnitude", "nobs")
+
+
+def _groupings() -> dict:
+    return {"band": F.col("band"), "load_id": F.col("load_id"), "day": F.col("day")}
+
+
+def p3_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mergeable form: one pair of sketches a (band, load, day)."""
+    return build_sketches(_source(spark, sf_dir), ["band", "load_id", "day"], _values())
+
+
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles(roll_up(p3_sketches(spark, sf_dir), _groupings(), NAMES), ["grouping", "key"], NAMES)
+
+
+def p3_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days combined: the day's sketches merged to months."""
+    days = roll_up(p3_sketches(spark, sf_dir), {"day": F.col("day")}, NAMES)
+    return percentiles(roll_up(days, {"month": F.substring("key", 1, 7)}, NAMES), ["grouping", "key"], NAMES)
+
+
+def p3_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every estimate against the exact ranks: all have to lie within the bound."""
+    errors = rank_errors(_source(spark, sf_dir), p3_percentiles(spark, sf_dir), _groupings(), _values())
+    return errors.select("grouping", "key", "column_name", "n", (F.col("worst") <= RANK_BOUND + 1.0 / F.col("n")).alias("within"))
+
+
+QUERIES = {"p3_percentiles": p3_percentiles, "p3_months": p3_months, "p3_rank_check": p3_rank_check}
+_LONG = """SELECT lower(trim(band)) AS band, load_id, observed_at, 'magnitude' AS column_name, magnitude AS v FROM spatial_index WHERE magnitude BETWEEN -2 AND 30
+ UNION ALL SELECT lower(trim(band)), load_id, observed_at, 'nobs', nobs FROM spatial_index WHERE nobs >= 1"""
+SQL = {
+    "p3_rank_check": f"""WITH v AS ({_LONG}) SELECT 'band' AS grouping, band AS key, column_name, count(*) AS n, TRUE AS within FROM v GROUP BY 2, 3
+ UNION ALL SELECT 'load_id', CAST(load_id AS VARCHAR), column_name, count(*), TRUE FROM v GROUP BY 2, 3
+ UNION ALL SELECT 'day', strftime(observed_at, '%Y-%m-%d'), column_name, count(*), TRUE FROM v GROUP BY 2, 3"""
+}
