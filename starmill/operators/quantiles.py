@@ -35,10 +35,10 @@ def roll_up(sketches: DataFrame, groupings: dict[str, Column], names: list[str],
 
 
 def percentiles(sketches: DataFrame, by: list[str], names: list[str], ranks: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    """(by..., column_name, n, p50, ...): percentiles of each sketch; null where it holds no value."""
+    """(by..., column_name, n, p50, ..., sketch): percentiles of each sketch, null where it holds no value, and itself."""
     one = lambda n: F.struct(F.lit(n).alias("column_name"), F.col(f"{n}_sketch").alias("sketch"))
     long = sketches.withColumn("s", F.explode(F.array(*[one(n) for n in names]))).select(*by, "s.*").withColumn("n", F.kll_sketch_get_n_double("sketch"))
-    return long.select(*by, "column_name", "n", *[F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(r))).alias(f"p{round(100 * r)}") for r in ranks])
+    return long.select(*by, "column_name", "n", *[F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(r))).alias(f"p{round(100 * r)}") for r in ranks], "sketch")
 
 
 def rank_errors(df: DataFrame, estimates: DataFrame, groupings: dict[str, Column], values: dict[str, Column]) -> DataFrame:
@@ -50,7 +50,7 @@ def rank_errors(df: DataFrame, estimates: DataFrame, groupings: dict[str, Column
     cols = F.array(*[F.struct(F.lit(n).alias("column_name"), v.cast("double").alias("v")) for n, v in values.items()])
     long = df.select(each.alias("g"), F.explode(cols).alias("c")).where(F.col("c.v").isNotNull() & ~F.isnan("c.v")).select(F.explode("g").alias("g"), "c").select("g.*", "c.*")
     counted = long.groupBy("grouping", "key", "column_name", "v").agg(F.count(F.lit(1)).alias("m"))
-    est = estimates.where("n > 0").withColumn("key", F.coalesce("key", F.lit("\0")))
+    est = estimates.drop("sketch").where("n > 0").withColumn("key", F.coalesce("key", F.lit("\0")))
     joined = counted.join(est, ["grouping", "key", "column_name"])
     names = [f"p{round(100 * r)}" for r in PERCENTILES]
     sums = joined.groupBy("grouping", "key", "column_name", "n").agg(*[F.sum(F.when(F.col("v") < F.col(p), F.col("m")).otherwise(0)).alias(f"{p}_lt") for p in names], *[F.sum(F.when(F.col("v") <= F.col(p), F.col("m")).otherwise(0)).alias(f"{p}_le") for p in names])

@@ -34,7 +34,9 @@ def p3_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentiles(roll_up(p3_sketches(spark, sf_dir), _groupings(), NAMES), ["grouping", "key"], NAMES)
+    """Per band, per load, per day and per (band, load, day), with the sketches themselves, to be combined later."""
+    cell = {"cell": F.concat_ws("|", F.coalesce("band", F.lit("")), "load_id", F.col("day").cast("string"))}
+    return percentiles(roll_up(p3_sketches(spark, sf_dir), _groupings() | cell, NAMES), ["grouping", "key"], NAMES)
 
 
 def p3_months(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def p3_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every estimate against the exact ranks: all have to lie within the bound."""
-    errors = rank_errors(_source(spark, sf_dir), p3_percentiles(spark, sf_dir), _groupings(), _values())
+    errors = rank_errors(_source(spark, sf_dir), p3_percentiles(spark, sf_dir).where("grouping <> 'cell'"), _groupings(), _values())
     return errors.select("grouping", "key", "column_name", "n", (F.col("worst") <= RANK_BOUND + 1.0 / F.col("n")).alias("within"))
 
 
