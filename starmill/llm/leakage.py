@@ -1,13 +1,14 @@
 """Evaluation texts leaking into training text, by a positional inverted index.
 
-``postings`` is the index: (doc, term, positions) of the training texts.  A document's words outside of every run
-of ``need`` or more consecutive words of the test items' vocabulary cannot be part of a passage, so they are not
-posted; their positions still count.  Each window of ``need`` words of an item is looked up by its rarest term (by
-the index's own document counts); the offset-adjusted positions are the candidate alignments; at each alignment
-the lists of the item's other terms are intersected at their own offsets, and consecutive hits are counted.
-
-Joins are equi-joins on term and on (document, position, term).  The test side is small, but nothing relies on
-that but the vocabulary, which goes to the tasks only up to VOCABULARY_LIMIT words; beyond it all words are posted.
+``postings`` is the index: for each training text the positions of its terms.  Words outside of every run of
+``need`` or more consecutive words of the test items' vocabulary (and of their consecutive triples) cannot be part
+of a passage, so they are not posted; their positions still count.  The index is written to the shared folder
+once.  Each window of ``need`` words of an item is looked up by its rarest term (by the index's own document
+counts); the offset-adjusted positions are the candidate alignments; at each alignment the lists of the words next
+to the rarest term are intersected first, then those of all words of the item, and consecutive hits are counted.
+
+Joins are equi-joins on term, on document and on item.  The test side is small, but nothing relies on that but the
+vocabulary, which goes to the tasks only up to VOCABULARY_LIMIT entries; beyond it all words are posted.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starmill.session import scratch_path
+
 VOCABULARY_LIMIT = 1_000_000
 #: Zero-width characters, byte-order mark and soft hyphen.
 _DROPPED = re.compile("[­᠎​-‏⁠-⁤﻿]")
@@ -38,31 +41,34 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", _DROPPED.sub("", text)).casefold())
 
 
-def postings(df: DataFrame, key: str, text: str, vocabulary: set[str] | None, need: int) -> DataFrame:
-    """(doc, term, positions array<int>) of runs of ``need`` or more vocabulary words; all words if there is none."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = T.StructType([T.StructField("doc", df.schema[key].dataType), T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+def postings(df: DataFrame, key: str, text: str, vocabulary: set[str] | None, triples: set[tuple[str, str, str]] | None, need: int) -> DataFrame:
+    """(doc, lists map<string, array<int>>): term and positions in runs of vocabulary words; of all words if there is none.
+
+    Documents without a run give no row.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((vocabulary, triples))
+    schema = T.StructType([T.StructField("doc", df.schema[key].dataType), T.StructField("lists", T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))])
     doc_type = pa.string() if isinstance(df.schema[key].dataType, T.StringType) else pa.int64()
-    runs = re.compile(b"\x01{%d,}" % need).finditer
+    runs, inner = re.compile(b"\x01{%d,}" % need).finditer, re.compile(b"\x01{%d,}" % (need - 2)).finditer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, three = shared.value
         for batch in batches:
-            docs, terms, places = [], [], []
+            docs, lists = [], []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(t.as_py())
+                spans = [(0, len(words))] if known is None else [m.span() for m in runs(bytes(map(known.__contains__, words)))]
+                if three is not None:
+                    # need consecutive words make need - 2 consecutive triples
+                    spans = [(a + m.start(), a + m.end() + 2) for a, b in spans for m in inner(bytes(w in three for w in zip(words[a:b], words[a + 1 : b], words[a + 2 : b], strict=False)))]
                 held: dict[str, list[int]] = {}
-                if known is None:
-                    spans = [(0, len(words))]
-                else:
-                    spans = [m.span() for m in runs(bytes(map(known.__contains__, words)))]
                 for a, b in spans:
                     for k in range(a, b):
                         held.setdefault(words[k], []).append(k)
-                docs += [doc] * len(held)
-                terms += held.keys()
-                places += held.values()
-            yield pa.RecordBatch.from_arrays([pa.array(docs, doc_type), pa.array(terms, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["doc", "term", "positions"])
+                if held:
+                    docs.append(doc)
+                    lists.append(list(held.items()))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, doc_type), pa.array(lists, pa.map_(pa.string(), pa.list_(pa.int32())))], names=["doc", "lists"])
 
     return df.select(key, text).mapInArrow(run, schema)
 
@@ -77,37 +83,46 @@ def item_words(items: DataFrame, key: str, text: str) -> DataFrame:
     return items.select(F.col(key).alias("item"), F.posexplode(split(F.col(text)))).toDF("item", "off", "term")
 
 
-def longest_run(offs: Column) -> Column:
-    """Most consecutive numbers in a sorted array."""
-    zero = F.struct(F.lit(-9).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best"))
+def longest_run(hits: Column) -> Column:
+    """Most consecutive true values of an array."""
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
 
     def step(acc, x):
-        now = F.when(x == acc["last"] + 1, acc["now"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("last"), now.alias("now"), F.greatest(acc["best"], now).alias("best"))
+        now = F.when(x, acc["now"] + 1).otherwise(F.lit(0))
+        return F.struct(now.alias("now"), F.greatest(acc["best"], now).alias("best"))
 
-    return F.aggregate(offs, zero, step, lambda acc: acc["best"])
+    return F.aggregate(hits, zero, step, lambda acc: acc["best"])
 
 
 def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, need: int = 12) -> DataFrame:
     """(doc, item, n_words): documents that hold ``need`` or more consecutive words of an item, and the most they hold.
 
     Null and empty texts hold nothing; items of fewer than ``need`` words are never found.  Words repeated in an
-    item or a document are told apart by position.
+    item or a document are told apart by position.  ``need`` is 8 or more.
     """
+    spark = docs.sparkSession
     words = item_words(items, item_key, item_text)
-    distinct = words.select("term").distinct()
-    vocabulary = {r.term for r in distinct.limit(VOCABULARY_LIMIT + 1).toLocalIterator()}
-    index = postings(docs, doc_key, doc_text, vocabulary if len(vocabulary) <= VOCABULARY_LIMIT else None, need)
-    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
+    vocabulary = {r.term for r in words.select("term").distinct().limit(VOCABULARY_LIMIT + 1).toLocalIterator()}
+    after = W.partitionBy("item").orderBy("off")
+    grams = words.select("term", F.lead("term", 1).over(after).alias("b"), F.lead("term", 2).over(after).alias("c")).where("c is not null").distinct()
+    triples = {(r.term, r.b, r.c) for r in grams.limit(VOCABULARY_LIMIT + 1).toLocalIterator()} if len(vocabulary) <= VOCABULARY_LIMIT else set()
+    use_words, use_triples = len(vocabulary) <= VOCABULARY_LIMIT, len(vocabulary) <= VOCABULARY_LIMIT and len(triples) <= VOCABULARY_LIMIT
+    path = scratch_path(spark, "postings")
+    postings(docs, doc_key, doc_text, vocabulary if use_words else None, triples if use_triples else None, need).write.parquet(path)
+    index = spark.read.parquet(path)
+    entries = index.select("doc", F.explode("lists").alias("term", "positions"))
+    counts = entries.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
     rated = words.join(counts, "term", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
     ahead = W.partitionBy("item").orderBy("off").rowsBetween(0, need - 1)
     rarest = rated.select("item", F.min(F.struct("n_docs", "off", "term")).over(ahead).alias("r"), F.count(F.lit(1)).over(ahead).alias("size"))
     # a window with a term that no document has cannot match
     anchors = rarest.where((F.col("size") == need) & (F.col("r.n_docs") > 0)).select("item", F.col("r.off").alias("off"), F.col("r.term").alias("term")).distinct()
-    found = index.join(anchors, "term").select("doc", "item", "off", F.explode("positions").alias("pos"))
-    aligned = found.select("doc", "item", (F.col("pos") - F.col("off")).alias("delta")).distinct()
-    expected = aligned.join(words, "item").select("doc", "item", "delta", "off", "term", (F.col("delta") + F.col("off")).alias("pos")).where("pos >= 0")
-    there = index.select("doc", "term", F.explode("positions").alias("pos"))
-    hits = expected.join(there, ["doc", "pos", "term"], "left_semi")
-    runs = hits.groupBy("doc", "item", "delta").agg(F.array_sort(F.collect_set("off")).alias("offs")).select("doc", "item", longest_run(F.col("offs")).alias("n_words"))
+    texts = words.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("off", "term"))).alias("words")).select("item", F.col("words.term").alias("words"))
+    found = entries.join(anchors, "term").select("doc", "item", "off", F.explode("positions").alias("pos"))
+    aligned = found.select("doc", "item", "off", (F.col("pos") - F.col("off")).alias("delta")).join(index, "doc").join(texts, "item")
+    hit = lambda k: F.coalesce(F.array_contains(F.element_at("lists", F.get("words", k)), F.col("delta") + k), F.lit(False))
+    # a window of 8 or more round the rarest term holds three words next to it, on one side or the other
+    beside = lambda ks: F.forall(F.array(*[F.lit(k) for k in ks]), lambda k: hit(F.col("off") + k))
+    likely = aligned.where(beside((1, 2, 3)) | beside((-1, -2, -3))).dropDuplicates(["doc", "item", "delta"])
+    runs = likely.select("doc", "item", longest_run(F.transform(F.sequence(F.lit(0), F.size("words") - 1), hit)).alias("n_words"))
     return runs.where(F.col("n_words") >= need).groupBy("doc", "item").agg(F.max("n_words").alias("n_words"))
