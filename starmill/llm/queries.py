@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from starmill.llm.bpe import encode_column
 from starmill.llm.leakage import leaks
+from starmill.llm.pii import find_personal, redact
 from starmill.queries import table
 
 
@@ -21,5 +22,20 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).selectExpr("doc AS doc_id", "item AS item_id")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found}
+def p9_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many consecutive words of the item the document holds at most."""
+    return _leaks(spark, sf_dir).selectExpr("doc AS doc_id", "item AS item_id", "n_words")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "documents"), "doc_id", "text").selectExpr("doc AS doc_id", "kind", "found AS found_text").distinct()
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with placeholders."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return redact(docs, "doc_id", "text", find_personal(docs, "doc_id", "text"))
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_lengths": p9_lengths, "p10_found": p10_found, "p10_redacted": p10_redacted}
 SQL: dict[str, str] = {}
