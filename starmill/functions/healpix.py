@@ -3,7 +3,7 @@
 The projection is that of Gorski et al. 2005, ApJ 622, 759.  A face is a unit square with coordinates
 (x, y); a nested cell number is the face number followed by the interleaved bits of x and y.
 
-Positions that are null or not finite give a null cell in the column functions.
+Positions that are null or not finite have no cell: -1 in the column functions.
 """
 
 from __future__ import annotations
@@ -51,21 +51,29 @@ def in_pixel(index: Column, order: int, pixel: int) -> Column:
     return (index >= F.lit(pixel * size)) & (index < F.lit((pixel + 1) * size))
 
 
+def has_position(ra: Column, dec: Column) -> Column:
+    """True for finite coordinates with dec within -90..90; never null."""
+    x, y = ra.cast("double"), dec.cast("double")
+    return F.coalesce((F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x) & y.between(-90.0, 90.0), F.lit(False))
+
+
 def with_cell(df: DataFrame, ra: str, dec: str, order: int, name: str) -> DataFrame:
-    """Append the nested cell of (``ra``, ``dec``) in degrees as bigint column ``name``.
+    """Append the nested cell of (``ra``, ``dec``) in degrees as bigint column ``name``; -1 without a position.
 
-    Pure column arithmetic.  The steps are separate projections: inlining them would double the
-    expression at each step of the bit spreading.  ``ra`` is taken modulo 360.  Null, NaN and
-    infinite coordinates and ``dec`` outside -90..90 give null.
+    Pure column arithmetic.  ``ra`` is taken modulo 360.  The steps are separate projections: inlining them
+    would double the expression at each step of the bit spreading.  For the same reason the column is never null:
+    a filter on it, such as a join infers for a nullable key, would be pushed through the projections and be
+    inlined.  Leave rows out by has_position, not by the cell.
     """
     t = lambda s: f"__{name}_{s}"
     ns = float(1 << order)
     top = (1 << order) - 1
-    ok = F.col(ra).isNotNull() & F.col(dec).isNotNull() & (F.abs(F.col(ra).cast("double")) < F.lit(float("inf"))) & F.col(dec).between(-90.0, 90.0)
+    df = df.withColumn(t("ok"), has_position(F.col(ra), F.col(dec)))
+    ok = F.col(t("ok"))
     df = df.withColumns({
-        t("tt"): F.when(ok, F.pmod(F.pmod(F.col(ra).cast("double"), F.lit(360.0)), F.lit(360.0)) / 90.0),
-        t("z"): F.when(ok, F.sin(F.radians(F.col(dec).cast("double")))),
-        t("c"): F.when(ok, F.cos(F.radians(F.col(dec).cast("double")))),
+        t("tt"): F.when(ok, F.pmod(F.pmod(F.col(ra).cast("double"), F.lit(360.0)), F.lit(360.0)) / 90.0).otherwise(0.0),
+        t("z"): F.when(ok, F.sin(F.radians(F.col(dec).cast("double")))).otherwise(0.0),
+        t("c"): F.when(ok, F.cos(F.radians(F.col(dec).cast("double")))).otherwise(0.0),
     })
     tt, z, za = F.col(t("tt")), F.col(t("z")), F.abs(F.col(t("z")))
     ntt = F.least(F.floor(tt), F.lit(3)).cast("bigint")
@@ -91,7 +99,7 @@ def with_cell(df: DataFrame, ra: str, dec: str, order: int, name: str) -> DataFr
         if (1 << order) > (1 << shift) or shift == 1:
             df = df.withColumns({t(a): F.col(t(a)).bitwiseOR(F.shiftleft(F.col(t(a)), shift)).bitwiseAND(F.lit(mask)) for a in "xy"})
     out = F.shiftleft(F.col(t("f")), 2 * order) + F.col(t("x")) + F.shiftleft(F.col(t("y")), 1)
-    return df.withColumn(name, out).drop(*[t(s) for s in ("tt", "z", "c", "eq", "nt", "w", "jp", "jm", "f", "x", "y")])
+    return df.withColumn(name, F.coalesce(F.when(ok, out), F.lit(-1).cast("bigint"))).drop(*[t(s) for s in ("ok", "tt", "z", "c", "eq", "nt", "w", "jp", "jm", "f", "x", "y")])
 
 
 def sql_cell(table: str, ra: str, dec: str, order: int, name: str, keep: str = "*") -> str:
