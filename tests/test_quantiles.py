@@ -1,0 +1,30 @@
+import random
+
+from pyspark.sql import functions as F
+
+from starmill.operators.quantiles import RANK_BOUND, build_sketches, percentiles, rank_errors, roll_up
+
+
+def test_error_bound_and_merging(spark):
+    r = random.Random(3)
+    rows = [(r.choice("ab"), r.randrange(5), r.lognormvariate(0, 1)) for _ in range(30_000)] + [("a", 1, float("nan")), ("b", 2, None), (None, 9, 4.0), ("c", 8, None)]
+    df = spark.createDataFrame(rows, "g string, d int, v double")
+    values, groupings = {"v": F.col("v")}, {"g": F.col("g"), "d": F.col("d")}
+    p = percentiles(roll_up(build_sketches(df, ["g", "d"], values), groupings, ["v"]), ["grouping", "key"], ["v"])
+    got = {(x.grouping, x.key): x for x in p.collect()}
+    assert got["g", None].p50 == 4.0 and got["g", "c"].n == 0 and got["g", "c"].p50 is None
+    errors = rank_errors(df, p, groupings, values).collect()
+    assert len(errors) == 3 + 6 and all(e.worst <= RANK_BOUND + 1 / e.n for e in errors)
+    assert {e.key for e in errors if e.grouping == "g"} == {"a", "b", None}
+
+
+def test_small_groups_are_exact_and_empty_tables(spark):
+    df = spark.createDataFrame([("x", float(v)) for v in range(1, 101)], "g string, v double")
+    p = percentiles(build_sketches(df, ["g"], {"v": F.col("v")}), ["g"], ["v"]).first()
+    assert (p.n, p.p50, p.p90, p.p99) == (100, 50.0, 90.0, 99.0)
+    assert percentiles(build_sketches(df.where("false"), ["g"], {"v": F.col("v")}), ["g"], ["v"]).collect() == []
+
+
+def test_ties(spark):
+    df = spark.createDataFrame([("x", 5.0)] * 5000 + [("x", 9.0)] * 10, "g string, v double")
+    assert percentiles(build_sketches(df, ["g"], {"v": F.col("v")}), ["g"], ["v"]).first().p90 == 5.0
