@@ -92,9 +92,9 @@ def partitions_of(alignment: DataFrame) -> DataFrame:
 
 
 def align_rows(df: DataFrame, alignment: DataFrame, cell: str = "cell") -> DataFrame:
-    """``df`` with Norder, Dir, Npix of each row's partition; rows without one are dropped."""
-    a = alignment.select(F.col("cell").alias("__cell"), "Norder", "Npix")
-    joined = df.join(a, F.col(cell) == F.col("__cell")).drop("__cell")
+    """``df`` with Norder, Dir, Npix of each row's partition, in place of any it had; rows without one are dropped."""
+    a = alignment.select(F.col("cell").alias("__aligned"), "Norder", "Npix")
+    joined = df.drop("Norder", "Dir", "Npix").join(a, F.col(cell) == F.col("__aligned")).drop("__aligned")
     return joined.withColumn("Dir", (F.floor(F.col("Npix") / 10000) * 10000).cast("bigint"))
 
 
