@@ -62,32 +62,40 @@ def polygon_distance(ra, dec, order: int, pixel: int, step: int) -> np.ndarray:
 
 
 def exact_distance(ra, dec, order: int, pixel: int) -> np.ndarray:
-    """Degrees to the true boundary: the nearest of its sampled points, then refined along the curve."""
+    """Degrees to the true boundary.
+
+    Of each edge that can hold the nearest point, the stretch round its nearest sampled point is narrowed down; an
+    edge cannot if its nearest sample is farther than half a step beyond the nearest sample of all.
+    """
     p = hp.xyz_np(ra, dec)
     v = _edge(order, pixel, EXACT_STEP)
-
-    near = np.empty(len(p), dtype=np.int64)
-    for at in range(0, len(p), 4096):
-        near[at : at + 4096] = np.argmax(p[at : at + 4096] @ v.T, axis=1)
+    v = np.concatenate([v, v[:1]])
+    chord = np.sqrt(np.clip(2 - 2 * (p @ v.T), 0, None))
+    half = np.linalg.norm(np.diff(v, axis=0), axis=1).max() * 0.6
     face, ix, iy = hp.face_xy_np(order, [pixel])
     ns = float(1 << order)
-
-    def at(t: np.ndarray) -> np.ndarray:
-        u = np.mod(t / EXACT_STEP, 4.0)
-        side, s = np.floor(u).astype(int) % 4, u - np.floor(u)
-        x = np.choose(side, [s, np.ones_like(s), 1 - s, np.zeros_like(s)])
-        y = np.choose(side, [np.zeros_like(s), s, np.ones_like(s), 1 - s])
-        r, d = hp.project_np(np.full(len(t), face[0]), (ix[0] + x) / ns, (iy[0] + y) / ns)
-        return np.linalg.norm(p - hp.xyz_np(r, d), axis=1)
-
-    best = at(near.astype(float))
-    for shift in (-1.0, 0.0):  # the curve may have a corner at the sampled point: search both sides
-        lo, hi = near + shift, near + shift + 1.0
-        for _ in range(40):
-            a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-            left = at(a) < at(b)
-            lo, hi = np.where(left, lo, a), np.where(left, b, hi)
-        best = np.minimum(best, at((lo + hi) / 2))
+    best = chord.min(axis=1)
+    nearest = best.copy()
+    grid = np.linspace(0.0, 1.0, 9)
+    for side in range(4):
+        own = chord[:, side * EXACT_STEP : (side + 1) * EXACT_STEP + 1]
+        rows = np.flatnonzero(own.min(axis=1) - half <= nearest)
+        if not len(rows):
+            continue
+        q = p[rows]
+
+        def at(t: np.ndarray, q: np.ndarray = q, side: int = side) -> np.ndarray:
+            x, y = ((t, 0 * t), (0 * t + 1, t), (1 - t, 0 * t + 1), (0 * t, 1 - t))[side]
+            r, d = hp.project_np(np.full(len(t), face[0]), (ix[0] + x) / ns, (iy[0] + y) / ns)
+            return np.linalg.norm(q - hp.xyz_np(r, d), axis=1)
+
+        mid, width = own[rows].argmin(axis=1) / EXACT_STEP, 2.0 / EXACT_STEP
+        lo = np.clip(mid - width / 2, 0.0, 1.0 - width)
+        for _ in range(9):
+            d = np.stack([at(lo + g * width) for g in grid])
+            best[rows] = np.minimum(best[rows], d.min(axis=0))
+            mid, width = lo + width * grid[d.argmin(axis=0)], width / 4
+            lo = np.clip(mid - width / 2, 0.0, 1.0 - width)
     return np.degrees(2 * np.arcsin(np.clip(best / 2, 0, 1)))
 
 

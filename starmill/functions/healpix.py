@@ -204,7 +204,7 @@ def radec_np(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.mod(np.degrees(np.arctan2(v[..., 1], v[..., 0])), 360.0), np.degrees(np.arctan2(v[..., 2], np.hypot(v[..., 0], v[..., 1])))
 
 
-def touching_np(order: int, cell, directions: int = 48) -> np.ndarray:
+def touching_np(order: int, cell, directions: int = 16) -> np.ndarray:
     """Cells that touch each cell, its own included: array (n, 4 * directions) with repeats.
 
     Every neighbour shares a vertex with the cell, so the cells met on a tiny circle round each of
