@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from starmill.operators.profile import Profiled, coverage, coverage_change, expressions, findings, fraction_rows, statistics, value_counts
 from starmill.queries import table
+from starmill.session import written
 
 COLUMNS = {
     "sky_catalog": [Profiled("ra_error", 0, 1000, 12), Profiled("dec_error", 0, 1000, 12)],
@@ -19,7 +20,8 @@ TABLE_OF = {c.name: t for t, cs in COLUMNS.items() for c in cs}
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [value_counts(table(spark, sf_dir, t), "load_id", cs) for t, cs in COLUMNS.items()])
+    counts = reduce(DataFrame.unionByName, [value_counts(table(spark, sf_dir, t), "load_id", cs) for t, cs in COLUMNS.items()])
+    return written(counts, "value_counts")  # the statistics, the median and the expressions all read it
 
 
 def _named(df: DataFrame) -> DataFrame:
