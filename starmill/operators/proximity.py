@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from starmill.functions import healpix as hp
 from starmill.functions.rtree import RTree
+from starmill.session import written
 
 ROOT = 360.0  # side of the quadtree's root; its upper half in dec is empty
 MAX_DEPTH = 20
@@ -143,6 +144,7 @@ def near(points: DataFrame, radius_arcsec: float, regions: DataFrame | None = No
     """
     spark = points.sparkSession
     radius = radius_arcsec / 3600.0
+    points = written(points.select("key", "ra", "dec"), "points")  # it is read for the count, the sample and the join
     total = points.count()
     aim = int(min(leaf_points, max(512, total / (4 * spark.sparkContext.defaultParallelism))))
     buckets = max(1, math.ceil(total / sample_limit))
