@@ -92,7 +92,7 @@ def fused_table(target: DataFrame, files: DataFrame, rows: DataFrame, aliases: D
     names of one field the first that has a value counts.  Repeated rows stay, as they are in the input.
     """
     paths = header_paths(files, aliases, fields).where("role = 'renamed'").groupBy("file_no").agg(F.array_sort(F.collect_list(F.struct("field_name", "name"))).alias("renames"))
-    t = rows.join(paths, "file_no", "left").withColumn("loose", F.from_json("extra", "map<string,string>"))
+    t = rows.select("file_no", "row_no", *fields, "extra").join(paths, "file_no", "left").withColumn("loose", F.from_json("extra", "map<string,string>"))
     out = []
     for name, kind in fields.items():
         seen = F.transform(F.filter("renames", lambda r: r["field_name"] == F.lit(name)), lambda r: F.element_at("loose", r["name"]))

@@ -35,8 +35,19 @@ _CTE = f"""WITH alike AS (SELECT canon, min(field_name) AS field_name FROM (SELE
  v AS ({" UNION ALL ".join(f"SELECT file_no, row_no, '{f}' AS name, {f} AS v FROM input_02" for f in _FIELDS)} UNION ALL SELECT file_no, row_no, k, json_extract_string(extra, '$."' || k || '"') FROM (SELECT file_no, row_no, extra, unnest(json_keys(extra)) AS k FROM input_02 WHERE extra IS NOT NULL)),
  w AS (SELECT file_no, row_no, name, {_TRIM.format("v")} AS v FROM v WHERE lower({_TRIM.format("v")}) NOT IN ('', 'null', 'na', 'n/a', 'nan')),
  u AS (SELECT n.file_no, field, max(CASE WHEN regexp_full_match(v, {_INT}) AND TRY_CAST(v AS BIGINT) IS NOT NULL THEN 0 WHEN regexp_full_match(v, {_DBL}) THEN 1 ELSE 2 END) AS widest FROM n JOIN w ON n.file_no = w.file_no AND n.name = w.name WHERE kind <> 'added' GROUP BY 1, 2)"""
+_KIND = {"id": "BIGINT", "ra": "DOUBLE", "dec": "DOUBLE", "ra_error": "BIGINT", "dec_error": "BIGINT", "comment": "VARCHAR", "code": "BIGINT"}
+_IS = "lower({0}) NOT IN ('', 'null', 'na', 'n/a', 'nan')"
+_TYPED = {"BIGINT": f"CASE WHEN regexp_full_match({{0}}, {_INT}) THEN TRY_CAST({{0}} AS BIGINT) END", "DOUBLE": f"CASE WHEN regexp_full_match({{0}}, {_DBL}) THEN TRY_CAST({{0}} AS DOUBLE) END", "VARCHAR": "{0}"}
+_WIDE = ", ".join(f"{_TYPED[k].format('v_' + f)} AS {f}" + ("" if k == "VARCHAR" else f", CASE WHEN ({_TYPED[k].format('v_' + f)}) IS NULL THEN v_{f} END AS {f}_text") for f, k in _KIND.items())
+_PLAIN = ", ".join(f"CAST({f} AS {k}) AS {f}" + ("" if k == "VARCHAR" else f", CAST(NULL AS VARCHAR) AS {f}_text") for f, k in _KIND.items())
+_TABLE = f"""{_CTE}, r AS (SELECT row_number() OVER () AS rid, * FROM input_02),
+ alt AS (SELECT rid, field, min_by(v, name) AS v FROM (SELECT rid, field, name, {_TRIM.format("json_extract_string(extra, '$.\"' || name || '\"')")} AS v FROM r JOIN n ON r.file_no = n.file_no AND kind = 'renamed') WHERE {_IS.format("v")} GROUP BY 1, 2),
+ own AS (SELECT r.file_no, row_no, {", ".join(f"{_TRIM.format(f'coalesce({f}, (SELECT v FROM alt WHERE alt.rid = r.rid AND field = {chr(39)}{f}{chr(39)}))')} AS t_{f}" for f in _KIND)} FROM r),
+ val AS (SELECT file_no, row_no, {", ".join(f"CASE WHEN {_IS.format('t_' + f)} THEN t_{f} END AS v_{f}" for f in _KIND)} FROM own)
+ SELECT 'target' AS source, CAST(NULL AS BIGINT) AS file_no, CAST(NULL AS BIGINT) AS row_no, {_PLAIN} FROM input_01 UNION ALL SELECT 'drifting', file_no, row_no, {_WIDE} FROM val"""
 SQL = {
     "p4_found": f"""{_CTE} SELECT file_no, kind AS drift, field AS field_name, name AS seen_as FROM n WHERE kind <> 'field'
  UNION ALL SELECT no, 'removed', f, '' FROM (SELECT DISTINCT file_no AS no FROM input_files) CROSS JOIN (SELECT unnest([{_LIST}]) AS f) WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.file_no = no AND field = f AND kind <> 'added')
  UNION ALL SELECT file_no, 'retyped', field, CASE widest WHEN 1 THEN 'double' ELSE 'string' END FROM u WHERE widest > CASE {" ".join(f"WHEN field = '{f}' THEN {k}" for f, k in _FIELDS.items())} END""",
+    "p4_table": _TABLE,
 }

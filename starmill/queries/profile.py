@@ -40,7 +40,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _counts(spark, sf_dir)
     forms = fraction_rows(counts, expressions(counts), ALL)
-    return _named(statistics(counts, ALL).join(forms, ["column_name", "load_id"], "left").withColumn("n_fraction", F.coalesce("n_fraction", F.lit(0))))
+    return _named(statistics(counts, ALL).join(forms, ["column_name", "load_id"], "left").withColumns({"n_fraction": F.coalesce("n_fraction", F.lit(0)), "median": F.round("median", 6)}))
 
 
 def p2_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +65,5 @@ SQL = {
  SELECT table_name, column_name, load_id, 'null_rate' AS finding FROM j WHERE n_null > 0.1 * n_rows UNION SELECT table_name, column_name, load_id, 'out_of_range' FROM j WHERE n_outside > 0.02 * (n_rows - n_null)
  UNION SELECT table_name, column_name, load_id, 'constant' FROM j WHERE n_distinct IN (1, 2) UNION SELECT table_name, column_name, load_id, 'whole' FROM j WHERE wh AND n_inside > 0 AND n_fraction = 0
  UNION SELECT table_name, column_name, load_id, 'shift' FROM j WHERE abs(median - prior) > sh""",
-    "p2_profile": f"SELECT * EXCLUDE (sh, wh) FROM ({_STATS})",
+    "p2_profile": f"SELECT * EXCLUDE (sh, wh, median), round(median, 6) AS median FROM ({_STATS})",
 }
