@@ -204,6 +204,27 @@ def radec_np(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.mod(np.degrees(np.arctan2(v[..., 1], v[..., 0])), 360.0), np.degrees(np.arctan2(v[..., 2], np.hypot(v[..., 0], v[..., 1])))
 
 
+def ring_to_nested_np(order: int) -> np.ndarray:
+    """Nested cell of each ring-ordered cell: rings from the north pole, eastwards within."""
+    ns = 1 << order
+    p = np.arange(n_cells(order), dtype=np.int64)
+    cap = 2 * ns * (ns - 1)
+    south = p >= 12 * ns * ns - cap
+    q = np.where(south, 12 * ns * ns - 1 - p, p)
+    ring = ((1 + np.sqrt(1 + 2.0 * q)) / 2).astype(np.int64)
+    ring -= 2 * ring * (ring - 1) > q
+    ring += 2 * ring * (ring + 1) <= q
+    at = q - 2 * ring * (ring - 1)
+    polar = q < cap
+    row = (p - cap) // (4 * ns) + ns
+    shift = np.where((row - ns) % 2 == 0, 0.5, 0.0)
+    z = np.where(polar, 1 - ring**2 / (3.0 * ns * ns), (2.0 * ns - row) * 2 / (3.0 * ns))
+    z = np.where(south & polar, -z, z)
+    steps = np.where(south, 4 * ring - 1 - at, at)
+    ra = np.where(polar, 90.0 * (steps + 0.5) / np.maximum(ring, 1), 90.0 * ((p - cap) % (4 * ns) + shift) / ns)
+    return ang2pix_np(order, ra, np.degrees(np.arcsin(z)))
+
+
 def touching_np(order: int, cell, directions: int = 16) -> np.ndarray:
     """Cells that touch each cell, its own included: array (n, 4 * directions) with repeats.
 

@@ -237,6 +237,7 @@ def run_conversion(a: args_of.ConversionArguments, spark: SparkSession) -> None:
     rows = df.select(*first, *given, F.col("__o").alias("Norder"), dir_of(F.col("__p")).alias("Dir"), F.col("__p").alias("Npix"))
     written = [(r.Norder, r.Npix, r.n_rows) for r in layout.write_leaves(rows, f"{a.catalog_path}/dataset", first, layout.SIGNED).collect()]
     total = _pixel_files(a.catalog_path, [(o, p) for o, p, _ in written], int(info["total_rows"]) if info.get("total_rows") is not None else None)
+    layout.convert_point_map(f"{base}/point_map.fits", f"{a.catalog_path}/point_map.fits")
     names = {"catalog_name": "obs_collection", "catalog_type": "dataproduct_type", "total_rows": "hats_nrows", "ra_column": "hats_col_ra", "dec_column": "hats_col_dec"}
     values = {names.get(k, k): v for k, v in info.items()} | {"obs_collection": a.output_artifact_name, "hats_nrows": total, "hats_cols_sort": runtime.get("sort_columns"), "hats_max_rows": runtime.get("pixel_threshold")}
     pixels = [(o, p) for o, p, _ in written]

@@ -12,16 +12,20 @@ from __future__ import annotations
 
 import csv
 import io
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starmill.functions.healpix import ring_to_nested_np
+
 PIXEL = ("Norder", "Dir", "Npix")
 UNSIGNED = {"Norder": pa.uint8(), "Dir": pa.uint64(), "Npix": pa.uint64(), "margin_Norder": pa.uint8(), "margin_Dir": pa.uint64(), "margin_Npix": pa.uint64(), "join_Norder": pa.uint8(), "join_Dir": pa.uint64(), "join_Npix": pa.uint64()}
 SIGNED = {"Norder": pa.int8(), "Dir": pa.int64(), "Npix": pa.int64()}
@@ -217,19 +221,50 @@ def sky_fraction(pixels: list[tuple[int, int]]) -> float:
     return sum(1 / (12 * 4**o) for o, _ in pixels)
 
 
-def write_point_map(path: str, counts: dict[int, int], order: int) -> None:
-    """The histogram as a FITS image of 64-bit counts, cells in nested order."""
-    import numpy as np
+def write_fits_map(path: str, data: np.ndarray, order: int) -> None:
+    """Values of all cells in nested order as a FITS image, in celestial coordinates."""
+    card = lambda k, v: f"{k:<8}= {v:>20}".ljust(80)
+    cards = [card("SIMPLE", "T"), card("BITPIX", 8 * data.dtype.itemsize), card("NAXIS", 1), card("NAXIS1", len(data)), card("PIXTYPE", "'HEALPIX '"), card("ORDERING", "'NESTED  '"), card("COORDSYS", "'CEL     '"), card("NSIDE", 1 << order), "END".ljust(80)]
+    head, body = "".join(cards), data.astype(data.dtype.newbyteorder(">")).tobytes()
+    fs, p = filesystem(path)
+    with fs.open_output_stream(p) as f:
+        f.write(head.ljust(-(-len(head) // 2880) * 2880).encode() + body + b"\0" * (-len(body) % 2880))
 
-    def block(cards: list[str]) -> bytes:
-        text = "".join(c.ljust(80) for c in [*cards, "END"])
-        return text.ljust(-(-len(text) // 2880) * 2880).encode()
 
-    card = lambda k, v: f"{k:<8}= {v:>20}"
-    data = np.zeros(12 << (2 * order), dtype=">i8")
+def write_point_map(path: str, counts: dict[int, int], order: int) -> None:
+    """The histogram as a map of 64-bit counts."""
+    data = np.zeros(12 << (2 * order), dtype=np.int64)
     data[np.fromiter(counts.keys(), np.int64, len(counts))] = np.fromiter(counts.values(), np.int64, len(counts))
-    body = data.tobytes()
-    head = block([card("SIMPLE", "T"), card("BITPIX", 64), card("NAXIS", 1), card("NAXIS1", len(data)), card("PIXTYPE", "'HEALPIX '"), card("ORDERING", "'NESTED  '"), card("NSIDE", 1 << order)])
+    write_fits_map(path, data, order)
+
+
+def read_fits_map(path: str) -> tuple[np.ndarray, bool] | None:
+    """Values of a FITS image of all cells, and whether they are in ring order; None if there is no such file."""
     fs, p = filesystem(path)
-    with fs.open_output_stream(p) as f:
-        f.write(head + body + b"\0" * (-len(body) % 2880))
+    if fs.get_file_info(p).type != pafs.FileType.File:
+        return None
+    with fs.open_input_stream(p) as f:
+        raw = f.read()
+    header: dict[str, str] = {}
+    for k in range(0, len(raw), 80):
+        text = raw[k : k + 80].decode("ascii", "replace")
+        if text[:8].strip() == "END":
+            start = -(-(k + 80) // 2880) * 2880
+            break
+        header[text[:8].strip()] = text[10:].split("/")[0].strip().strip("'").strip()
+    kind = {"8": "u1", "16": ">i2", "32": ">i4", "64": ">i8", "-32": ">f4", "-64": ">f8"}[header["BITPIX"]]
+    n = int(header["NAXIS1"]) * int(header.get("NAXIS2", 1))
+    return np.frombuffer(raw, dtype=kind, count=n, offset=start), header.get("ORDERING", "").upper() == "RING"
+
+
+def convert_point_map(source: str, target: str) -> bool:
+    """A map of the older layout in nested order as 32-bit counts; False if there is none."""
+    found = read_fits_map(source)
+    if found is None:
+        return False
+    values, ring = found
+    order = round(math.log2(len(values) / 12) / 2)
+    data = np.zeros(len(values), dtype=np.int32)
+    data[ring_to_nested_np(order) if ring else np.arange(len(values))] = values.astype(np.int32)
+    write_fits_map(target, data, order)
+    return True

@@ -64,3 +64,12 @@ def test_distances():
     near = exact_distance(np.arange(360.0), np.zeros(360), 1, 0)
     assert (near >= 0).all()
     assert margin_order_for(5.0) == 14
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 4])
+def test_ring_order_goes_from_north_to_south_and_east(order):
+    nested = hp.ring_to_nested_np(order)
+    assert sorted(nested.tolist()) == list(range(hp.n_cells(order)))
+    ra, dec = hp.center_np(order, nested)
+    z = np.round(np.sin(np.radians(dec)), 9)
+    assert (np.diff(z) <= 0).all() and (np.diff(ra)[np.diff(z) == 0] > 0).all()

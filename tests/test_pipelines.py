@@ -11,6 +11,7 @@ from starmill.functions import healpix as hp
 from starmill.functions.geometry import exact_distance
 from starmill.plans import arguments as ar
 from starmill.plans.pipeline import pipeline, verify
+from starmill.sources import layout
 from starmill.sources.layout import Catalog, read_properties
 from starmill.sources.readers import CsvReader
 
@@ -144,9 +145,15 @@ def test_conversion(spark, sky, catalog):
         t.rename(columns={"_healpix_29": "_hipscat_index"}).to_parquet(old / f"Norder={o}/Dir=0/Npix={p}.parquet")
     (old / "catalog_info.json").write_text(json.dumps({"catalog_name": "old", "catalog_type": "object", "total_rows": 2000, "epoch": "J2000", "ra_column": "ra", "dec_column": "dec"}))
     (old / "provenance_info.json").write_text(json.dumps({"tool_args": {"runtime_args": {"pixel_threshold": 300}}}))
+    ring = np.arange(48, dtype=np.int64)
+    layout.write_fits_map(str(old / "point_map.fits"), ring, 1)
+    raw = (old / "point_map.fits").read_bytes()
+    (old / "point_map.fits").write_bytes(raw.replace(b"'NESTED  '", b"'RING    '"))
     pipeline(ar.ConversionArguments(output_path=str(base), output_artifact_name="new", input_catalog_path=str(old)), spark)
     c = Catalog.open(str(base / "new"))
     assert c.pixels == catalog.pixels and c.read(spark).columns == ["_healpix_29", "id", "ra", "dec", "mag", "Norder", "Dir", "Npix"]
+    values, is_ring = layout.read_fits_map(f"{c.path}/point_map.fits")
+    assert not is_ring and (values[hp.ring_to_nested_np(1)] == ring).all() and values.dtype == ">i4"
     assert "epoch" not in c.properties and c.properties["hats_max_rows"] == "300"
     leaf = pq.read_schema(f"{c.path}/dataset/Norder={c.pixels[0][0]}/Dir=0/Npix={c.pixels[0][1]}.parquet")
     assert [str(leaf.field(n).type) for n in ("Norder", "Dir", "Npix")] == ["int8", "int64", "int64"]
