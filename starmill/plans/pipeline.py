@@ -18,6 +18,7 @@ from starmill.operators import association as assoc
 from starmill.operators import binning, index, margin
 from starmill.plans import arguments as args_of
 from starmill.plans.resume import Stages
+from starmill.session import ship_package
 from starmill.sources import layout
 
 INDEX = "_healpix_29"
@@ -32,6 +33,7 @@ def pipeline(args: args_of.RuntimeArguments, spark: SparkSession | None = None)
     if type(args) not in runs:
         raise ValueError("unknown arguments: a pipeline is chosen by their type")
     spark = spark or SparkSession.builder.getOrCreate()
+    ship_package(spark)
     try:
         runs[type(args)](args, spark)
     except Exception:

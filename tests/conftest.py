@@ -15,5 +15,8 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from starmill.session import ship_package
+
+    ship_package(s)
     yield s
     s.stop()
