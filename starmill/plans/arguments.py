@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from starmill.functions.geometry import margin_order_for, min_distance_arcmin
-from starmill.sources.layout import Catalog, remove
+from starmill.sources.layout import KEYS, Catalog, remove
 from starmill.sources.readers import InputReader, find_input_paths, get_file_reader
 
 
@@ -22,7 +22,7 @@ class RuntimeArguments:
 
     output_path: str
     output_artifact_name: str
-    addl_hats_properties: dict[str, Any] = field(default_factory=dict)
+    addl_properties: dict[str, Any] = field(default_factory=dict)
     tmp_dir: str | None = None
     spark_tmp: str | None = None
     resume: bool = True
@@ -158,7 +158,7 @@ class IndexArguments(RuntimeArguments):
         self.catalog = Catalog.open(self.input_catalog_path)
         extra = [*self.extra_columns]
         if self.include_radec:
-            extra += [self.catalog.properties["hats_col_ra"], self.catalog.properties["hats_col_dec"]]
+            extra += [self.catalog.properties[KEYS["col_ra"]], self.catalog.properties[KEYS["col_dec"]]]
         self.extra_columns = list(dict.fromkeys(extra))
 
 

@@ -59,8 +59,8 @@ def _size_kib(path: str) -> int:
 
 def _finish(args: args_of.RuntimeArguments, values: dict) -> None:
     now = datetime.now(UTC)
-    extra = {"hats_builder": f"starmill v{__version__}", "hats_creation_date": now.strftime("%Y-%m-%dT%H:%MUTC"), "hats_estsize": _size_kib(args.catalog_path), "hats_release_date": "2024-09-18", "hats_version": "v0.1"}
-    layout.write_properties(args.catalog_path, values | extra | args.addl_hats_properties)
+    extra = {"builder": f"starmill v{__version__}", "creation_date": now.strftime("%Y-%m-%dT%H:%MUTC"), "estsize": _size_kib(args.catalog_path), "release_date": "2024-09-18", "version": "v0.1"}
+    layout.write_properties(args.catalog_path, values | extra | args.addl_properties)
 
 
 def _pixel_files(catalog_path: str, pixels: list[tuple[int, int]], expected: int | None) -> int:
@@ -140,8 +140,8 @@ def run_import(a: args_of.ImportArguments, spark: SparkSession) -> None:
     if a.mapping_order <= 12:  # a dense map of finer cells is no help to anyone
         layout.write_point_map(f"{a.catalog_path}/point_map.fits", {int(r.cell): int(r.n) for r in hist.toLocalIterator()}, a.mapping_order)
     _finish(a, {
-        "obs_collection": a.output_artifact_name, "dataproduct_type": a.catalog_type, "hats_nrows": total, "hats_col_ra": a.ra_column, "hats_col_dec": a.dec_column, "hats_cols_sort": a.sort_columns,
-        "hats_max_rows": a.pixel_threshold, "hats_order": max((o for o, _ in pixels), default=0), "moc_sky_fraction": f"{layout.sky_fraction(pixels):0.5f}",
+        "obs_collection": a.output_artifact_name, "dataproduct_type": a.catalog_type, "nrows": total, "col_ra": a.ra_column, "col_dec": a.dec_column, "cols_sort": a.sort_columns,
+        "max_rows": a.pixel_threshold, "order": max((o for o, _ in pixels), default=0), "moc_sky_fraction": f"{layout.sky_fraction(pixels):0.5f}",
     })
     stages.touch("finishing")
     stages.clean(a.delete_intermediate_parquet_files, a.delete_resume_log_files)
@@ -151,7 +151,7 @@ def run_import(a: args_of.ImportArguments, spark: SparkSession) -> None:
 
 
 def run_margin(a: args_of.MarginCacheArguments, spark: SparkSession) -> None:
-    ra, dec = a.catalog.properties["hats_col_ra"], a.catalog.properties["hats_col_dec"]
+    ra, dec = a.catalog.properties[layout.KEYS["col_ra"]], a.catalog.properties[layout.KEYS["col_dec"]]
     pairs = margin.margin_pairs(margin.with_negatives(spark, a.catalog.partitions(spark)), a.margin_order)
     rows = margin.margin_rows(a.catalog.read(spark), pairs, ra, dec, a.margin_order, a.margin_threshold, a.fine_filtering, a.boundary_samples)
     sort = [INDEX] if INDEX in rows.columns else []
@@ -159,8 +159,8 @@ def run_margin(a: args_of.MarginCacheArguments, spark: SparkSession) -> None:
     pixels = [(o, p) for o, p, _ in written]
     total = _pixel_files(a.catalog_path, pixels, sum(n for *_, n in written))
     _finish(a, {
-        "obs_collection": a.output_artifact_name, "dataproduct_type": "margin", "hats_nrows": total, "hats_col_ra": ra, "hats_col_dec": dec, "hats_primary_table_url": a.input_catalog_path, "hats_margin_threshold": a.margin_threshold,
-        "hats_order": max((o for o, _ in pixels), default=0), "moc_sky_fraction": f"{layout.sky_fraction(pixels):0.5f}",
+        "obs_collection": a.output_artifact_name, "dataproduct_type": "margin", "nrows": total, "col_ra": ra, "col_dec": dec, "primary_table_url": a.input_catalog_path, "margin_threshold": a.margin_threshold,
+        "order": max((o for o, _ in pixels), default=0), "moc_sky_fraction": f"{layout.sky_fraction(pixels):0.5f}",
     })
 
 
@@ -170,14 +170,14 @@ def run_margin(a: args_of.MarginCacheArguments, spark: SparkSession) -> None:
 def run_index(a: args_of.IndexArguments, spark: SparkSession) -> None:
     df = a.catalog.read(spark)
     if a.include_healpix_29 and INDEX not in df.columns:
-        df = with_cell(df, a.catalog.properties["hats_col_ra"], a.catalog.properties["hats_col_dec"], MAX_ORDER, INDEX)
+        df = with_cell(df, a.catalog.properties[layout.KEYS["col_ra"]], a.catalog.properties[layout.KEYS["col_dec"]], MAX_ORDER, INDEX)
     rows = index.index_rows(df, a.indexing_column, a.extra_columns, a.include_healpix_29, a.include_order_pixel, a.drop_duplicates)
     # as many files as the leaves' bytes ask for; the index is narrower, so files come out smaller
     n = max(1, _size_kib(f"{a.input_catalog_path}/dataset") * 1024 // a.compute_partition_size + 1)
     out = f"{a.catalog_path}/dataset/index"
     index.index_partitions(rows, a.indexing_column, n, a.division_hints).write.mode("overwrite").parquet(out)
     total = spark.read.parquet(out).count()
-    _finish(a, {"obs_collection": a.output_artifact_name, "dataproduct_type": "index", "hats_nrows": total, "hats_primary_table_url": a.input_catalog_path, "hats_index_column": a.indexing_column, "hats_index_extra_column": a.extra_columns})
+    _finish(a, {"obs_collection": a.output_artifact_name, "dataproduct_type": "index", "nrows": total, "primary_table_url": a.input_catalog_path, "index_column": a.indexing_column, "index_extra_column": a.extra_columns})
 
 
 # ---------------------------------------------------------------- association
@@ -206,8 +206,8 @@ def run_soap(a: args_of.SoapArguments, spark: SparkSession) -> None:
     if lost:
         layout.write_csv(f"{a.catalog_path}/unmatched_sources.csv", names, lost)
     _finish(a, {
-        "obs_collection": a.output_artifact_name, "dataproduct_type": "association", "hats_nrows": total if total is not None else sum(r[-1] for r in info), "hats_primary_table_url": a.object_catalog_dir, "hats_col_assn_primary": a.object_id_column,
-        "hats_col_assn_primary_assn": "object_id", "hats_assn_join_table_url": a.source_catalog_dir, "hats_col_assn_join": a.source_object_id_column, "hats_col_assn_join_assn": "source_id", "hats_assn_leaf_files": a.write_leaf_files,
+        "obs_collection": a.output_artifact_name, "dataproduct_type": "association", "nrows": total if total is not None else sum(r[-1] for r in info), "primary_table_url": a.object_catalog_dir, "col_assn_primary": a.object_id_column,
+        "col_assn_primary_assn": "object_id", "assn_join_table_url": a.source_catalog_dir, "col_assn_join": a.source_object_id_column, "col_assn_join_assn": "source_id", "assn_leaf_files": a.write_leaf_files,
         "moc_sky_fraction": f"{layout.sky_fraction(pixels):0.5f}",
     })
 
@@ -231,7 +231,7 @@ def run_conversion(a: args_of.ConversionArguments, spark: SparkSession) -> None:
     file = F.col("_metadata.file_path")
     df = df.withColumns({"__o": F.regexp_extract(file, r"Norder=(\d+)", 1).cast("int"), "__p": F.regexp_extract(file, r"Npix=(\d+)", 1).cast("bigint")})
     ra, dec = info.get("ra_column"), info.get("dec_column")
-    dropped = ["_hipscat_index", *layout.PIXEL, "__o", "__p"]
+    dropped = [layout.OLD_INDEX, *layout.PIXEL, "__o", "__p"]
     given = [c for c in df.columns if c not in dropped]
     first = []
     if kind != "association" and ra and dec:
@@ -240,10 +240,10 @@ def run_conversion(a: args_of.ConversionArguments, spark: SparkSession) -> None:
     written = [(r.Norder, r.Npix, r.n_rows) for r in layout.write_leaves(rows, f"{a.catalog_path}/dataset", first, layout.SIGNED).collect()]
     total = _pixel_files(a.catalog_path, [(o, p) for o, p, _ in written], int(info["total_rows"]) if info.get("total_rows") is not None else None)
     layout.convert_point_map(f"{base}/point_map.fits", f"{a.catalog_path}/point_map.fits")
-    names = {"catalog_name": "obs_collection", "catalog_type": "dataproduct_type", "total_rows": "hats_nrows", "ra_column": "hats_col_ra", "dec_column": "hats_col_dec"}
-    values = {names.get(k, k): v for k, v in info.items()} | {"obs_collection": a.output_artifact_name, "hats_nrows": total, "hats_cols_sort": runtime.get("sort_columns"), "hats_max_rows": runtime.get("pixel_threshold")}
+    names = {"catalog_name": "obs_collection", "catalog_type": "dataproduct_type", "total_rows": "nrows", "ra_column": "col_ra", "dec_column": "col_dec"}
+    values = {names.get(k, k): v for k, v in info.items()} | {"obs_collection": a.output_artifact_name, "nrows": total, "cols_sort": runtime.get("sort_columns"), "max_rows": runtime.get("pixel_threshold")}
     pixels = [(o, p) for o, p, _ in written]
-    _finish(a, values | {"hats_order": max((o for o, _ in pixels), default=0), "moc_sky_fraction": f"{layout.sky_fraction(pixels):0.5f}"})
+    _finish(a, values | {"order": max((o for o, _ in pixels), default=0), "moc_sky_fraction": f"{layout.sky_fraction(pixels):0.5f}"})
 
 
 # ---------------------------------------------------------------- verification
@@ -254,7 +254,7 @@ def verify(spark: SparkSession, catalog: layout.Catalog, columns: list[str] | No
     df = catalog.read(spark)
     by = {(r.Norder, r.Npix): r for r in df.groupBy("Norder", "Npix").agg(F.count(F.lit(1)).alias("n"), *([F.min(INDEX).alias("lo"), F.max(INDEX).alias("hi")] if INDEX in df.columns else [])).toLocalIterator()}
     total = sum(r.n for r in by.values())
-    checks = [("row count", str(total) == catalog.properties.get("hats_nrows"), f"{total} rows"), ("partitions", set(by) == set(catalog.pixels), f"{len(by)} partitions")]
+    checks = [("row count", str(total) == catalog.properties.get(layout.KEYS["nrows"]), f"{total} rows"), ("partitions", set(by) == set(catalog.pixels), f"{len(by)} partitions")]
     spans = sorted((p << (2 * (29 - o)), (p + 1) << (2 * (29 - o))) for o, p in catalog.pixels)
     checks.append(("partitions do not overlap", all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False)), ""))
     if INDEX in df.columns and catalog.properties.get("dataproduct_type") in ("object", "source"):

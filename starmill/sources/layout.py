@@ -31,6 +31,16 @@ UNSIGNED = {"Norder": pa.uint8(), "Dir": pa.uint64(), "Npix": pa.uint64(), "marg
 SIGNED = {"Norder": pa.int8(), "Dir": pa.int64(), "Npix": pa.int64()}
 
 
+#: Keys of the properties file, and the index column of the older layout.
+KEYS = {
+    "builder": "hats_builder", "creation_date": "hats_creation_date", "estsize": "hats_estsize", "release_date": "hats_release_date", "version": "hats_version", "nrows": "hats_nrows", "col_ra": "hats_col_ra", "col_dec": "hats_col_dec",
+    "cols_sort": "hats_cols_sort", "max_rows": "hats_max_rows", "order": "hats_order", "primary_table_url": "hats_primary_table_url", "margin_threshold": "hats_margin_threshold", "index_column": "hats_index_column",
+    "index_extra_column": "hats_index_extra_column", "col_assn_primary": "hats_col_assn_primary", "col_assn_primary_assn": "hats_col_assn_primary_assn", "assn_join_table_url": "hats_assn_join_table_url",
+    "col_assn_join": "hats_col_assn_join", "col_assn_join_assn": "hats_col_assn_join_assn", "assn_leaf_files": "hats_assn_leaf_files",
+}
+OLD_INDEX = "_hipscat_index"
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -147,9 +157,9 @@ def write_csv(path: str, names: list[str], rows: list[tuple]) -> None:
 
 
 def write_properties(path: str, values: dict[str, object], note: str = "catalog") -> None:
-    """``key=value`` lines; colons of values are escaped."""
+    """``key=value`` lines, keys by their short names of KEYS or in full; colons of values are escaped."""
     lines = [f"#{note}"]
-    for k, v in values.items():
+    for k, v in ((KEYS.get(k, k), v) for k, v in values.items()):
         if v is None:
             continue
         text = " ".join(map(str, v)) if isinstance(v, list | tuple) else str(v)

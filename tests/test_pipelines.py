@@ -40,7 +40,7 @@ def test_import(spark, sky, catalog):
     base, df = sky
     assert catalog.read(spark).count() == 2000
     p = read_properties(catalog.path)
-    assert p["hats_nrows"] == "2000" and p["dataproduct_type"] == "object" and p["hats_col_ra"] == "ra" and p["hats_max_rows"] == "300"
+    assert p[layout.KEYS["nrows"]] == "2000" and p["dataproduct_type"] == "object" and p[layout.KEYS["col_ra"]] == "ra" and p[layout.KEYS["max_rows"]] == "300"
     order, pixel = catalog.pixels[0]
     leaf = pq.ParquetFile(f"{catalog.path}/dataset/Norder={order}/Dir=0/Npix={pixel}.parquet")
     assert leaf.schema_arrow.names == ["id", "ra", "dec", "mag", "Norder", "Dir", "Npix", "_healpix_29"]
@@ -101,7 +101,7 @@ def test_index(spark, sky, catalog):
         pipeline(ar.IndexArguments(output_path=str(base), output_artifact_name=name, input_catalog_path=catalog.path, indexing_column="id", **kw), spark)
         t = spark.read.parquet(f"{base}/{name}/dataset/index")
         assert t.count() == 2000 and t.columns[0] == "_healpix_29" and t.columns[-1] == "id"
-    assert {"ra", "dec"} <= set(t.columns) and read_properties(f"{base}/iy")["hats_index_column"] == "id"
+    assert {"ra", "dec"} <= set(t.columns) and read_properties(f"{base}/iy")[layout.KEYS["index_column"]] == "id"
     spans = sorted((r.lo, r.hi) for r in t.groupBy(F.input_file_name()).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).collect())
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and spans[0][1] < 1000 <= spans[1][0]
 
@@ -142,7 +142,7 @@ def test_conversion(spark, sky, catalog):
     for o, p in catalog.pixels:
         t = pq.ParquetFile(f"{catalog.path}/dataset/Norder={o}/Dir=0/Npix={p}.parquet").read().to_pandas()
         (old / f"Norder={o}/Dir=0").mkdir(parents=True, exist_ok=True)
-        t.rename(columns={"_healpix_29": "_hipscat_index"}).to_parquet(old / f"Norder={o}/Dir=0/Npix={p}.parquet")
+        t.rename(columns={"_healpix_29": layout.OLD_INDEX}).to_parquet(old / f"Norder={o}/Dir=0/Npix={p}.parquet")
     (old / "catalog_info.json").write_text(json.dumps({"catalog_name": "old", "catalog_type": "object", "total_rows": 2000, "epoch": "J2000", "ra_column": "ra", "dec_column": "dec"}))
     (old / "provenance_info.json").write_text(json.dumps({"tool_args": {"runtime_args": {"pixel_threshold": 300}}}))
     ring = np.arange(48, dtype=np.int64)
@@ -154,7 +154,7 @@ def test_conversion(spark, sky, catalog):
     assert c.pixels == catalog.pixels and c.read(spark).columns == ["_healpix_29", "id", "ra", "dec", "mag", "Norder", "Dir", "Npix"]
     values, is_ring = layout.read_fits_map(f"{c.path}/point_map.fits")
     assert not is_ring and (values[hp.ring_to_nested_np(1)] == ring).all() and values.dtype == ">i4"
-    assert "epoch" not in c.properties and c.properties["hats_max_rows"] == "300"
+    assert "epoch" not in c.properties and c.properties[layout.KEYS["max_rows"]] == "300"
     leaf = pq.read_schema(f"{c.path}/dataset/Norder={c.pixels[0][0]}/Dir=0/Npix={c.pixels[0][1]}.parquet")
     assert [str(leaf.field(n).type) for n in ("Norder", "Dir", "Npix")] == ["int8", "int64", "int64"]
     pipeline(ar.VerificationArguments(output_path=str(base), output_artifact_name="report", input_catalog_path=catalog.path), spark)
