@@ -31,6 +31,13 @@ def csv_table() -> np.ndarray:
     return t
 
 
+def stream_table() -> np.ndarray:
+    """As csv, for raw files: END is a line end, which within quotes belongs to the field."""
+    t = csv_table()
+    t[QUOTED, END] = QUOTED
+    return t
+
+
 def parity_table() -> np.ndarray:
     """Quotes only have to be even within a field; separators always separate."""
     t = np.full((6, 5), BROKEN, dtype=np.uint8)
@@ -47,10 +54,21 @@ def classes(sep: str) -> np.ndarray:
     return c
 
 
+def chunk_maps(table: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """End state of each start state over each row of byte classes: (rows, states)."""
+    maps = np.broadcast_to(np.arange(table.shape[0], dtype=np.uint8), (len(grid), table.shape[0])).copy()
+    for k in range(grid.shape[1]):
+        maps = table[maps, grid[:, k][:, None]]
+    return maps
+
+
 def transition_map(table: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """End state of each start state over a run of byte classes."""
+    whole = len(cls) // CHUNK * CHUNK
     state = np.arange(table.shape[0], dtype=np.uint8)
-    for c in cls:
+    for m in chunk_maps(table, cls[:whole].reshape(-1, CHUNK)):
+        state = m[state]
+    for c in cls[whole:]:
         state = table[state, c]
     return state
 
@@ -69,9 +87,7 @@ def label(table: np.ndarray, cls: np.ndarray, start: int = START) -> tuple[np.nd
     grid = np.full(rows * CHUNK, OTHER, dtype=np.uint8)
     grid[:n] = cls
     grid = grid.reshape(rows, CHUNK)
-    maps = np.broadcast_to(np.arange(table.shape[0], dtype=np.uint8), (rows, table.shape[0])).copy()
-    for k in range(CHUNK):
-        maps = table[maps, grid[:, k][:, None]]
+    maps = chunk_maps(table, grid)
     begins = np.empty(rows, dtype=np.uint8)
     state = start
     for r, m in enumerate(maps.tolist()):

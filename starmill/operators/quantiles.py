@@ -13,9 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starmill.session import written
+
 K = 200
 RANK_BOUND = 0.0266
 PERCENTILES = (0.5, 0.9, 0.99)
+#: Most estimates that are broadcast to check their ranks, some 10 MB.
+BROADCAST_ROWS = 100_000
 #: Sketches a task holds by hash before it falls back to sorting its rows.
 HELD = 20_000
 
@@ -46,13 +50,14 @@ def rank_errors(df: DataFrame, estimates: DataFrame, groupings: dict[str, Column
 
     A value that is repeated covers a run of ranks; the error is the distance to the nearest of them.
     """
+    est = written(estimates.drop("sketch").where("n > 0").withColumn("key", F.coalesce("key", F.lit("\0"))), "estimates")
+    small = est.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # beyond it the rows are shuffled to their group
     each = F.array(*[F.struct(F.lit(g).alias("grouping"), F.coalesce(c.cast("string"), F.lit("\0")).alias("key")) for g, c in groupings.items()])
     cols = F.array(*[F.struct(F.lit(n).alias("column_name"), v.cast("double").alias("v")) for n, v in values.items()])
     long = df.select(each.alias("g"), F.explode(cols).alias("c")).where(F.col("c.v").isNotNull() & ~F.isnan("c.v")).select(F.explode("g").alias("g"), "c").select("g.*", "c.*")
-    counted = long.groupBy("grouping", "key", "column_name", "v").agg(F.count(F.lit(1)).alias("m"))
-    est = estimates.drop("sketch").where("n > 0").withColumn("key", F.coalesce("key", F.lit("\0")))
-    joined = counted.join(est, ["grouping", "key", "column_name"])
+    joined = long.join(F.broadcast(est) if small else est, ["grouping", "key", "column_name"])
     names = [f"p{round(100 * r)}" for r in PERCENTILES]
-    sums = joined.groupBy("grouping", "key", "column_name", "n").agg(*[F.sum(F.when(F.col("v") < F.col(p), F.col("m")).otherwise(0)).alias(f"{p}_lt") for p in names], *[F.sum(F.when(F.col("v") <= F.col(p), F.col("m")).otherwise(0)).alias(f"{p}_le") for p in names])
+    at = lambda test: F.count(F.when(test, 1))
+    sums = joined.groupBy("grouping", "key", "column_name", "n").agg(*[at(F.col("v") < F.col(p)).alias(f"{p}_lt") for p in names], *[at(F.col("v") <= F.col(p)).alias(f"{p}_le") for p in names])
     off = [F.greatest(F.col(f"{p}_lt") - F.col("n") * r, F.col("n") * r - F.col(f"{p}_le"), F.lit(0.0)) / F.col("n") for p, r in zip(names, PERCENTILES, strict=True)]
     return sums.select("grouping", F.when(F.col("key") != "\0", F.col("key")).alias("key"), "column_name", "n", F.greatest(*off).alias("worst"))
