@@ -57,7 +57,7 @@ def unique_records(records: DataFrame) -> DataFrame:
 
 
 def plan_layout(records: DataFrame, rows_per_file: int) -> DataFrame:
-    """Unique records with ``code`` and ``target_file`` (0, 1, ... within each Dir).
+    """Unique records with ``code`` and ``target_file`` (0, 1, ... within each Dir); columns of these names are replaced.
 
     The code is the upper half of a Hilbert code over two axes: the places of the object and of the join cell
     along the sky's nested order, 2 * BITS bits each.
@@ -68,10 +68,10 @@ def plan_layout(records: DataFrame, rows_per_file: int) -> DataFrame:
     histogram = unique.groupBy("Dir", "code").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("Dir").orderBy("code")
     before = F.sum("n").over(w) - F.col("n")
-    cuts = histogram.select(F.col("Dir").alias("d"), F.col("code").alias("c"), before.alias("before"), "n")
-    joined = unique.join(cuts, unique["Dir"].eqNullSafe(cuts["d"]) & (unique["code"] == cuts["c"]), "left")
-    within = F.when(F.col("n") > rows_per_file, F.pmod(F.xxhash64("count_id", "file_no", "join_Npix"), F.col("n"))).otherwise(0)
-    return joined.withColumn("target_file", F.floor((F.col("before") + within) / rows_per_file).cast("bigint")).drop("d", "c", "before", "n")
+    cuts = histogram.select(F.col("Dir").alias("__dir"), F.col("code").alias("__code"), before.alias("__before"), F.col("n").alias("__n"))
+    joined = unique.join(cuts, unique["Dir"].eqNullSafe(cuts["__dir"]) & (unique["code"] == cuts["__code"]), "left")
+    within = F.when(F.col("__n") > rows_per_file, F.pmod(F.xxhash64("count_id", "file_no", "join_Npix"), F.col("__n"))).otherwise(0)
+    return joined.withColumn("target_file", F.floor((F.col("__before") + within) / rows_per_file).cast("bigint")).drop("__dir", "__code", "__before", "__n")
 
 
 def write_layout(plan: DataFrame, path: str) -> DataFrame:

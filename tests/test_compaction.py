@@ -47,6 +47,13 @@ def test_layout_is_even_whole_and_compared(spark):
     assert compact(df.where("false"), scratch_path(spark, "t"), 300).collect() == []
 
 
+def test_other_columns_are_carried(spark):
+    row = (1, 1, 5, 10000, 10819, 6, 0, 55, 5, T)
+    df = spark.createDataFrame([row, (2, *row[1:])], SCHEMA).withColumns({"n": F.lit("x"), "r": F.lit(2), "c": F.lit(3), "before": F.lit(4)})
+    got = plan_layout(df, 10).collect()
+    assert len(got) == 1 and (got[0].n, got[0].r, got[0].c, got[0].before, got[0].target_file) == ("x", 2, 3, 4, 0)
+
+
 def test_digest_sees_a_change(spark):
     a = spark.createDataFrame([(1, None, "x"), (2, 3, "y")], "k int, v int, w string")
     b = a.withColumn("v", F.coalesce("v", F.lit(0)))
