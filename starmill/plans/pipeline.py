@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starmill import __version__
-from starmill.functions.healpix import MAX_ORDER, ancestor, dir_of, has_position, with_cell
+from starmill.functions.healpix import MAX_ORDER, ancestor, descendant_range, dir_of, has_position, with_cell
 from starmill.operators import association as assoc
 from starmill.operators import binning, index, margin
 from starmill.plans import arguments as args_of
@@ -124,6 +124,7 @@ def run_import(a: args_of.ImportArguments, spark: SparkSession) -> None:
             rows = rows.select(*own, *[F.col(c).cast(t).alias(c) for c, t in kinds.items()], *layout.PIXEL)
         else:
             rows = rows.select(*given, *layout.PIXEL, *own)
+        layout.remove(f"{a.catalog_path}/dataset")  # what an earlier run left behind
         sort = own + ([c.strip() for c in a.sort_columns.split(",")] if a.sort_columns else [])
         written = {(r.Norder, r.Npix): r.n_rows for r in layout.write_leaves(rows, f"{a.catalog_path}/dataset", sort).collect()}
         for order, pixel, n in parts:
@@ -155,6 +156,7 @@ def run_margin(a: args_of.MarginCacheArguments, spark: SparkSession) -> None:
     pairs = margin.margin_pairs(margin.with_negatives(spark, a.catalog.partitions(spark)), a.margin_order)
     rows = margin.margin_rows(a.catalog.read(spark), pairs, ra, dec, a.margin_order, a.margin_threshold, a.fine_filtering, a.boundary_samples)
     sort = [INDEX] if INDEX in rows.columns else []
+    layout.remove(f"{a.catalog_path}/dataset")
     written = [(r.Norder, r.Npix, r.n_rows) for r in layout.write_leaves(rows, f"{a.catalog_path}/dataset", sort).collect()]
     pixels = [(o, p) for o, p, _ in written]
     total = _pixel_files(a.catalog_path, pixels, sum(n for *_, n in written))
@@ -190,8 +192,10 @@ def run_soap(a: args_of.SoapArguments, spark: SparkSession) -> None:
     pairs = assoc.candidate_pairs(spark, a.objects.partitions(spark), a.sources.partitions(spark))
     names = ["Norder", "Dir", "Npix", "join_Norder", "join_Dir", "join_Npix", "num_rows"]
     if a.write_leaf_files:
+        layout.remove(f"{a.catalog_path}/dataset")
+        along_sky = descendant_range(F.col("join_Npix"), F.col("join_Norder"))[0]
         leaf = assoc.association_leaf(objects, sources, a.object_id_column, a.source_object_id_column, a.source_id_column, pairs)
-        written = [(r.Norder, r.Npix, r.n_rows) for r in layout.write_leaves(leaf, f"{a.catalog_path}/dataset", ["join_Norder", "join_Npix", "object_id", "source_id"], split_groups_by=["join_Norder", "join_Npix"]).collect()]
+        written = [(r.Norder, r.Npix, r.n_rows) for r in layout.write_leaves(leaf, f"{a.catalog_path}/dataset", [along_sky, "join_Norder", "object_id", "source_id"], split_groups_by=["join_Norder", "join_Npix"]).collect()]
         counts = leaf.groupBy(*names[:-1]).agg(F.count(F.lit(1)).alias("num_rows"))
         total = _pixel_files(a.catalog_path, [(o, p) for o, p, _ in written], sum(n for *_, n in written))
     else:
@@ -234,6 +238,7 @@ def run_conversion(a: args_of.ConversionArguments, spark: SparkSession) -> None:
     dropped = [layout.OLD_INDEX, *layout.PIXEL, "__o", "__p"]
     given = [c for c in df.columns if c not in dropped]
     first = []
+    layout.remove(f"{a.catalog_path}/dataset")
     if kind != "association" and ra and dec:
         df, first = with_cell(df, ra, dec, MAX_ORDER, INDEX), [INDEX]
     rows = df.select(*first, *given, F.col("__o").alias("Norder"), dir_of(F.col("__p")).alias("Dir"), F.col("__p").alias("Npix"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starmill.functions.healpix import ring_to_nested_np
@@ -70,10 +70,10 @@ def leaf_path(base: str, order: int, pixel: int) -> str:
     return f"{base}/Norder={order}/Dir={pixel // 10000 * 10000}/Npix={pixel}.parquet"
 
 
-def write_leaves(df: DataFrame, dataset: str, sort: list[str], types: dict[str, pa.DataType] | None = None, split_groups_by: list[str] | None = None) -> DataFrame:
+def write_leaves(df: DataFrame, dataset: str, sort: list[str | Column], types: dict[str, pa.DataType] | None = None, split_groups_by: list[str] | None = None) -> DataFrame:
     """Write rows with Norder, Dir, Npix; (Norder, Npix, n_rows) of the files, when the result is run.
 
-    sort: columns within a file, nulls last. types: storage types of columns, unsigned pixels by default.
+    sort: columns or expressions within a file, nulls last. types: storage types of columns, unsigned pixels by default.
     split_groups_by: a new row group wherever these columns change. Running the result twice writes the same files.
     """
     types = UNSIGNED if types is None else types
