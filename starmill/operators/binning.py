@@ -39,21 +39,22 @@ def pixel_totals(hist: DataFrame, mapping_order: int, lowest: int) -> DataFrame:
     return each.groupBy("Norder", "Npix").agg(F.sum("n").alias("n"))
 
 
-def adaptive_partitions(hist: DataFrame, mapping_order: int, lowest: int, threshold: int) -> DataFrame:
+def adaptive_partitions(hist: DataFrame, mapping_order: int, lowest: int, threshold: int, keep_overfull: bool = False) -> DataFrame:
     """(Norder, Npix, n): the coarsest pixels of at most ``threshold`` rows, none coarser than ``lowest``.
 
     A pixel is one if its total is within the threshold and its parent's is not.  A cell of the mapping order that
-    alone exceeds the threshold is in none: see ``overfull``.
+    alone exceeds the threshold is in none, see ``overfull``; with keep_overfull it is a partition of its own.
     """
     totals = pixel_totals(hist, mapping_order, lowest)
     parents = totals.where((F.col("n") > threshold) & (F.col("Norder") < mapping_order)).select((F.col("Norder") + 1).alias("Norder"), F.col("Npix").alias("parent"))
-    fit = totals.where(F.col("n") <= threshold).withColumn("parent", F.shiftright("Npix", 2))
+    fits = F.col("n") <= threshold
+    fit = totals.where(fits | (F.col("Norder") == mapping_order) if keep_overfull else fits).withColumn("parent", F.shiftright("Npix", 2))
     split = fit.where(F.col("Norder") > lowest).join(parents, ["Norder", "parent"], "left_semi")
     return fit.where(F.col("Norder") == lowest).select("Norder", "Npix", "n").unionByName(split.select("Norder", "Npix", "n"))
 
 
 def overfull(hist: DataFrame, threshold: int) -> DataFrame:
-    """Cells that no partition can hold; importing stops if there are any."""
+    """Cells above the threshold, which no partition of at most that many rows can hold; importing stops if there are any."""
     return hist.where(F.col("n") > threshold)
 
 
@@ -74,15 +75,16 @@ def drop_empty_siblings(alignment: DataFrame, mapping_order: int) -> DataFrame:
     return alignment.join(moved, ["Norder", "Npix"]).select("cell", F.col("to_order").alias("Norder"), F.col("to_pix").alias("Npix"), "n")
 
 
-def align(hist: DataFrame, mapping_order: int, lowest: int = 0, threshold: int = 1_000_000, constant: bool = False, no_empty_siblings: bool = False) -> DataFrame:
+def align(hist: DataFrame, mapping_order: int, lowest: int = 0, threshold: int = 1_000_000, constant: bool = False, no_empty_siblings: bool = False, keep_overfull: bool = False) -> DataFrame:
     """The alignment of a histogram.
 
     constant: every non-empty cell is its own partition and the threshold does not matter; so it is if lowest
-    and mapping order are one.
+    and mapping order are one.  keep_overfull: a cell above the threshold is its own partition too, so that no row is
+    lost; without it such cells have none, and the caller has to ask for ``overfull`` first.
     """
     if constant or lowest == mapping_order:
         return hist.select("cell", F.lit(mapping_order).alias("Norder"), F.col("cell").alias("Npix"), "n")
-    out = align_cells(hist, adaptive_partitions(hist, mapping_order, lowest, threshold), mapping_order, lowest)
+    out = align_cells(hist, adaptive_partitions(hist, mapping_order, lowest, threshold, keep_overfull), mapping_order, lowest)
     return drop_empty_siblings(out, mapping_order) if no_empty_siblings else out
 
 

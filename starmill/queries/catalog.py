@@ -39,12 +39,12 @@ def _source_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _object_alignment(spark: SparkSession, d: str, **kw) -> DataFrame:
-    return binning.align(_object_hist(spark, d), ORDER, 0, THRESHOLD, **kw)
+    return binning.align(_object_hist(spark, d), ORDER, 0, THRESHOLD, keep_overfull=True, **kw)
 
 
 def _source_alignment(spark: SparkSession, d: str) -> DataFrame:
     hist = binning.histogram_of_index(table(spark, d, "spatial_index"), "_healpix_29", ORDER)
-    return binning.align(hist, ORDER, 0, 10 * THRESHOLD)
+    return binning.align(hist, ORDER, 0, 10 * THRESHOLD, keep_overfull=True)
 
 
 def _objects_placed(spark: SparkSession, d: str) -> DataFrame:
