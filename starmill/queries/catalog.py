@@ -178,10 +178,10 @@ def margin_pairs(spark, d):
 
 
 def margin_fine(spark, d):
+    """Pairs one order below the finest partitions there can be, whose cells are still wider than the margin."""
     placed = _objects_placed(spark, d).drop("cell")
-    parts = placed.select("Norder", "Npix").distinct().where(F.col("Norder") < ORDER)
-    pairs = margin.margin_pairs(margin.with_negatives(spark, parts).where(F.col("Norder") < ORDER), ORDER)
-    return margin.margin_rows(placed, pairs, "ra", "dec", ORDER, MARGIN_ARCSEC / 10)
+    pairs = margin.margin_pairs(margin.with_negatives(spark, placed), ORDER + 1)
+    return margin.margin_rows(placed, pairs, "ra", "dec", ORDER + 1, MARGIN_ARCSEC / 10)
 
 
 def pixel_list_filter(spark, d):

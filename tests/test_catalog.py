@@ -1,6 +1,10 @@
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from starmill.functions import geometry
+from starmill.functions import healpix as hp
 from starmill.operators import binning
 from starmill.queries import catalog
 
@@ -47,3 +51,24 @@ def test_overfull_cells_are_partitions_only_if_asked_for(spark):
     assert found() == [(1, 4, 1, 5), (2, 4, 2, 3), (500, 0, 1, 1)]
     assert found(keep_overfull=True) == [(0, 4, 0, 50), (1, 4, 1, 5), (2, 4, 2, 3), (500, 0, 1, 1)]
     assert found(keep_overfull=True, no_empty_siblings=True) == [(0, 4, 0, 50), (1, 4, 1, 5), (2, 4, 2, 3), (500, 4, 500, 1)]
+
+
+def test_margins_of_partitions_of_the_mapping_order(spark, tmp_path):
+    """Each of them gets the rows within the margin of its boundary, and so does the empty sky, but no other pixel."""
+    rng = np.random.default_rng(1)
+    n = 2 * catalog.THRESHOLD
+    ra, dec = 45.0 + rng.uniform(-0.05, 0.05, n), 10.0 + rng.uniform(-0.05, 0.05, n)
+    pd.DataFrame({"id": range(n), "ra": ra, "dec": dec}).to_parquet(tmp_path / "sky_catalog.parquet")
+    d = str(tmp_path)
+    placed = catalog._objects_placed(spark, d).drop("cell").localCheckpoint()
+    parts = {(r.Norder, r.Npix) for r in placed.select("Norder", "Npix").distinct().collect()}
+    dense = sorted(p for o, p in parts if o == catalog.ORDER)
+    assert placed.count() == n and dense
+    got = catalog.margin_fine(spark, d).select("id", "Norder", "Npix").collect()
+    assert len(got) == len(set(got))
+    assert {(r.Norder, r.Npix) for r in got} <= parts | set(hp.complement(sorted(parts)))
+    targets = spark.createDataFrame([(catalog.ORDER, p) for p in dense], "o int, p bigint")
+    away = (F.col("Norder") != F.col("o")) | (F.col("Npix") != F.col("p"))
+    near = geometry.boundary_distance(F.col("ra"), F.col("dec"), F.col("o"), F.col("p")) <= catalog.MARGIN_ARCSEC / 10
+    want = placed.crossJoin(targets).where(away).where(near).select("id", "o", "p").collect()
+    assert want and {tuple(r) for r in got if r.Norder == catalog.ORDER and r.Npix in dense} == {tuple(r) for r in want}
