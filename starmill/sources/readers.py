@@ -115,6 +115,43 @@ class FunctionReader(InputReader):
         return _narrow(self.function(spark, paths), read_columns)
 
 
+#: What a text has to look like to count as a value of a type, narrowest type first.
+_FORMS = {"bigint": r"^\s*[+-]?[0-9]+\s*$", "double": r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+|inf|infinity)(e[+-]?[0-9]+)?\s*$", "boolean": r"(?i)^(true|false)$"}
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "double")
+
+
+def _fused_schema(text: DataFrame, given: T.StructType | None) -> T.StructType:
+    """The narrowest types that hold every value of ``text`` and of a table of the schema ``given``.
+
+    One pass over all rows. A type given is kept if all values fit it; of two types that do not fit each other the
+    column becomes text. Columns without a value are of the type given, or double.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in given} if given is not None else {}
+    sums = []
+    for k, name in enumerate(text.columns):
+        c = F.col(f"`{name}`")
+        fits = {t: c.rlike(form) & c.try_cast(t).isNotNull() for t, form in _FORMS.items()} | {"digits": c.rlike(_FORMS["bigint"])}
+        if (own := kinds.get(name)) is not None:
+            # a cast may cut (a time of day to a date), so that the value has to come back as it was
+            back = c.try_cast(own)
+            fits["given"] = F.lit(True) if own == "string" else fits["boolean"] if own == "boolean" else c.rlike(_FORMS["bigint" if own.startswith("decimal") else "double"]) & back.isNotNull() if own in _NUMBERS or own.startswith("decimal") else back.isNotNull() & (F.length(c) >= 10) & (back.cast("timestamp") == c.try_cast("timestamp"))
+        sums += [F.count(c).alias(f"{k} n")] + [F.count_if(F.coalesce(ok, F.lit(False))).alias(f"{k} {t}") for t, ok in fits.items()]
+    found = text.agg(*sums).first().asDict()
+
+    def kind(k: int, name: str) -> str:
+        n, own = found[f"{k} n"], kinds.get(name)
+        if own is not None and found[f"{k} given"] == n:
+            return own
+        best = next((t for t in _FORMS if found[f"{k} {t}"] == n), "string") if n else "double"
+        if best == "double" and n and found[f"{k} digits"] == n:  # whole numbers beyond bigint would lose digits
+            best = "string"
+        if own is None:
+            return best
+        return max(best, own, key=_NUMBERS.index) if best in _NUMBERS and own in _NUMBERS else "string"
+
+    return T.StructType([T.StructField(name, T._parse_datatype_string(kind(k, name))) for k, name in enumerate(text.columns)])
+
+
 @dataclass
 class CsvReader(InputReader):
     """Delimited text, plain, .gz or .zip.
@@ -175,26 +212,33 @@ class CsvReader(InputReader):
         options = {"sep": self.sep, "header": str(self.header).lower(), "enforceSchema": "false" if self.header else "true", "escape": '"', "quote": '"', **self.options}
         if self.comment:
             options["comment"] = self.comment
+        reader = spark.read.options(**options)
         parts = []
         if plain:
-            reader = spark.read.options(**options)
             df = reader.schema(schema).csv(plain) if schema is not None else reader.option("inferSchema", "true").csv(plain)
             parts.append(df if not self.column_names or schema is not None else df.toDF(*self.column_names))
         if zipped:
-            parts.append(self._read_zip(spark, zipped, schema or (parts[0].schema if parts else None)))
+            text = self._zip_text(spark, zipped, schema or (parts[0].schema if parts else None))
+            if schema is None:
+                fused = _fused_schema(text, parts[0].schema if parts else None)
+                if parts and fused != parts[0].schema:
+                    parts = [spark.read.options(**options).schema(fused).csv(plain)]
+                schema = fused
+            parts.append(text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema]))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return _narrow(out, read_columns, self.usecols)
 
-    def _read_zip(self, spark: SparkSession, paths: list[str], schema: T.StructType | None) -> DataFrame:
-        """Each archive's members, one archive a task."""
+    def _zip_text(self, spark: SparkSession, paths: list[str], schema: T.StructType | None) -> DataFrame:
+        """The rows of all members as text, one archive a task."""
         sep, comment, header, names = self.sep, self.comment, self.header, self.column_names
         if schema is None:
             with zipfile.ZipFile(paths[0]) as z:
-                sample = pd.read_csv(z.open(z.namelist()[0]), sep=sep, comment=comment, header=0 if header else None, names=names, nrows=10_000)
-            schema = spark.createDataFrame(sample.astype({c: "object" for c in sample.columns if sample[c].dtype == object})).schema
-        columns = schema.names
+                first = pd.read_csv(z.open(z.namelist()[0]), sep=sep, comment=comment, header=0 if header else None, names=names, nrows=1)
+            columns = [str(c) for c in first.columns]
+        else:
+            columns = schema.names
 
         def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -205,8 +249,7 @@ class CsvReader(InputReader):
                                 yield chunk[columns]
 
         text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        raw = spark.read.format("binaryFile").load(paths).select("content").mapInPandas(members, text)
-        return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema])
+        return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(members, text)
 
 
 @dataclass

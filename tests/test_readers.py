@@ -24,6 +24,43 @@ def test_csv_plain_gz_zip_and_projection(spark, tmp_path):
     assert rd.CsvReader().read(spark, [str(tmp_path / "a.csv")], ["dec", "ra"]).columns == ["dec", "ra"]
 
 
+def test_types_of_archives_hold_every_value(spark, tmp_path):
+    """A value after the first 10,000 rows, in another member, archive or plain file widens its column."""
+    late = "".join(f"{k},{k},{k},{k},{k},true\n" for k in range(10_001))
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("1.csv", "id,late,member,archive,big,flag\n" + late + "10001,0.5,1,1,1,false\n")
+        z.writestr("2.csv", "id,late,member,archive,big,flag\n10002,1,1.25,1,9007199254740993,\n")
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("1.csv", "id,late,member,archive,big,flag\n10003,1,1,x7,,true\n")
+    got = rd.CsvReader().read(spark, [str(tmp_path / "a.zip"), str(tmp_path / "b.zip")])
+    assert got.dtypes == [("id", "bigint"), ("late", "double"), ("member", "double"), ("archive", "string"), ("big", "bigint"), ("flag", "boolean")]
+    assert [tuple(r)[1:] for r in got.where("id > 10000").orderBy("id").collect()] == [(0.5, 1.0, "1", 1, False), (1.0, 1.25, "1", 9007199254740993, None), (1.0, 1.0, "x7", None, True)]
+    (tmp_path / "p.csv").write_text("id,late,member,archive,big,flag\n-1,7,1,2,3,007\n")
+    both = rd.CsvReader().read(spark, [str(tmp_path / "p.csv"), str(tmp_path / "a.zip"), str(tmp_path / "b.zip")])
+    assert both.count() == 10_005 and dict(both.dtypes) | {"id": ""} == dict(got.dtypes) | {"id": "", "flag": "string"}
+    assert tuple(both.where("id = -1").first()) == (-1, 7.0, 1.0, "2", 3, "007")
+    assert both.where("id = 10003").first().archive == "x7" and both.where("flag = 'true'").count() == 10_002
+
+
+def test_whole_numbers_of_archives_keep_their_digits(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("d.csv", "n\n99999999999999999999\n1\n")
+    assert sorted(r.n for r in rd.CsvReader().read(spark, [str(tmp_path / "a.zip")]).collect()) == ["1", "99999999999999999999"]
+    (tmp_path / "p.csv").write_text("n\n99999999999999999999\n")
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("d.csv", "n\n1.5\n")
+    assert "1.5" in [str(r.n) for r in rd.CsvReader().read(spark, [str(tmp_path / "p.csv"), str(tmp_path / "b.zip")]).collect()]
+
+
+def test_times_of_archives_are_not_cut_to_dates(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("day\n2020-01-01\n")
+    for name, value in (("same", "2020-01-02"), ("time", "2020-01-02 03:04:05")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("d.csv", f"day\n{value}\n")
+        got = rd.CsvReader().read(spark, [str(tmp_path / "p.csv"), str(tmp_path / f"{name}.zip")])
+        assert sorted(str(r.day) for r in got.collect()) == ["2020-01-01", value]
+
+
 def test_pipes_without_header_comments_and_schema_file(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
