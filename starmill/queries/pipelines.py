@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starmill.functions.healpix import MAX_ORDER, has_position, with_cell
+from starmill.operators import binning
 from starmill.operators.proximity import clean_positions
 from starmill.plans import arguments as ar
 from starmill.plans.pipeline import pipeline, verify
 from starmill.queries import table
-from starmill.queries.catalog import _OBJ, _SRC, _align_sql
+from starmill.queries.catalog import _OBJ, _SRC, ORDER, _align_sql
 from starmill.session import scratch_path
 from starmill.sources.layout import Catalog
 from starmill.sources.readers import CsvReader, FunctionReader, ParquetReader
@@ -25,8 +26,10 @@ def _import_objects(spark: SparkSession, d: str, out: str) -> Catalog:
 
 
 def _import_sources(spark: SparkSession, d: str, out: str) -> Catalog:
+    """The threshold is at least the largest cell of the mapping order, so that an id with many rows does not stop it."""
     reader = FunctionReader(function=lambda s, paths: s.read.parquet(*paths).where("_healpix_29 is not null").select("id", "band", "_healpix_29"))
-    pipeline(ar.ImportArguments(output_path=out, output_artifact_name="sources", catalog_type="source", input_file_list=[f"{d}/spatial_index.parquet"], file_reader=reader, use_healpix_29=True, pixel_threshold=10 * THRESHOLD), spark)
+    largest = binning.histogram_of_index(table(spark, d, "spatial_index"), "_healpix_29", ORDER).agg(F.max("n")).first()[0]
+    pipeline(ar.ImportArguments(output_path=out, output_artifact_name="sources", catalog_type="source", input_file_list=[f"{d}/spatial_index.parquet"], file_reader=reader, use_healpix_29=True, highest_healpix_order=ORDER, pixel_threshold=max(10 * THRESHOLD, largest or 0)), spark)
     return Catalog.open(f"{out}/sources")
 
 

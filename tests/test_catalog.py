@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from starmill.functions import geometry
 from starmill.functions import healpix as hp
 from starmill.operators import binning
-from starmill.queries import catalog
+from starmill.queries import catalog, pipelines
 
 HOT = 311
 
@@ -37,6 +37,13 @@ def test_a_cell_above_the_threshold_keeps_its_rows(spark, crowded):
     assert [(r.n_rows, r.lo, r.hi) for r in catalog.index_range_buckets(spark, d).collect()] == [(4, 1, HOT)]
 
 
+def test_pipelines_take_a_cell_above_the_threshold(spark, crowded, monkeypatch):
+    d, _, n = crowded
+    monkeypatch.setattr(pipelines, "THRESHOLD", catalog.THRESHOLD)
+    assert {r.id for r in pipelines.index_pipeline(spark, d).collect()} == {HOT, 1, 2, 3}
+    assert sum(r.num_rows for r in pipelines.association_pipeline(spark, d).collect()) == n
+
+
 def test_unmatched_sources_of_a_cell_above_the_threshold_count(spark, crowded, tmp_path):
     d, cell, n = crowded
     pd.read_parquet(f"{d}/spatial_index.parquet").to_parquet(tmp_path / "spatial_index.parquet")
