@@ -1,9 +1,10 @@
-"""Queries on corpora of text: problems 8, 9 and 10."""
+"""Queries of problems 3, 8, 9 and 10."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from starmill.llm import quantile_queries
 from starmill.llm.bpe import encode_column
 from starmill.llm.leakage import leaks
 from starmill.llm.pii import find_personal, redact
@@ -37,5 +38,5 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(docs, "doc_id", "text", find_personal(docs, "doc_id", "text"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_lengths": p9_lengths, "p10_found": p10_found, "p10_redacted": p10_redacted}
-SQL: dict[str, str] = {}
+QUERIES = {**quantile_queries.QUERIES, "p8_ids": p8_ids, "p9_found": p9_found, "p9_lengths": p9_lengths, "p10_found": p10_found, "p10_redacted": p10_redacted}
+SQL: dict[str, str] = {**quantile_queries.SQL}
