@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starmill.functions.healpix import MAX_ORDER, descendant_range, dir_of, neighbours
@@ -23,17 +26,18 @@ def overlapping_partitions(a: DataFrame, b: DataFrame, prefix: str = "join_") ->
     return within.unionByName(around)
 
 
-def candidate_pairs(spark: SparkSession, objects: DataFrame, sources: DataFrame) -> DataFrame:
+def candidate_pairs(objects: DataFrame, sources: DataFrame) -> DataFrame:
     """Partition pairs that may hold matches: overlapping, or the object partition covers a neighbour of the source pixel."""
-    near = [(o, p, o, q) for o, p in ((int(r.Norder), int(r.Npix)) for r in sources.select("Norder", "Npix").distinct().toLocalIterator()) for q in neighbours(o, p)]
-    around = spark.createDataFrame(near, "join_Norder int, join_Npix bigint, Norder int, Npix bigint") if near else None
-    overlap = overlapping_partitions(objects, sources)
-    if around is None:
-        return overlap
-    cells = around.select("Norder", "Npix").distinct()
-    held = overlapping_partitions(cells, objects, "o_")
+
+    def ring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(o, p, o, q) for o, p in zip(b.Norder.tolist(), b.Npix.tolist(), strict=True) for q in neighbours(o, p)]
+            yield pd.DataFrame(rows, columns=["join_Norder", "join_Npix", "Norder", "Npix"]).astype({"join_Norder": "int32", "Norder": "int32", "join_Npix": "int64", "Npix": "int64"})
+
+    around = sources.select("Norder", "Npix").distinct().mapInPandas(ring, "join_Norder int, join_Npix bigint, Norder int, Npix bigint")
+    held = overlapping_partitions(around.select("Norder", "Npix"), objects, "o_")
     beside = around.join(held, ["Norder", "Npix"]).select(F.col("o_Norder").alias("Norder"), F.col("o_Npix").alias("Npix"), "join_Norder", "join_Npix")
-    return overlap.unionByName(beside).distinct()
+    return overlapping_partitions(objects, sources).unionByName(beside).distinct()
 
 
 PAIR = ["Norder", "Npix", "join_Norder", "join_Npix"]
@@ -54,14 +58,21 @@ def association_counts(objects: DataFrame, sources: DataFrame, object_id: str, s
     return counts.select("Norder", dir_of(F.col("Npix")).alias("Dir"), "Npix", "join_Norder", dir_of(F.col("join_Npix")).alias("join_Dir"), "join_Npix", "num_rows")
 
 
-def unmatched_sources(objects: DataFrame, sources: DataFrame, object_id: str, source_object_id: str) -> DataFrame:
+def unmatched_sources(objects: DataFrame, sources: DataFrame, object_id: str, source_object_id: str, pairs: DataFrame | None = None) -> DataFrame:
     """(join_Norder, join_Dir, join_Npix, num_rows): sources without an object, by source partition.
 
-    Distinct ids are compared, so no hot id is shuffled.
+    pairs: only objects in these partition pairs count, as in association_counts, so that a source whose object lies in
+    a partition too far away is unmatched.  Distinct (id, partition) are compared, so no hot id is shuffled.
     """
     src = sources.groupBy(F.col(source_object_id).alias("__sid"), F.col("Norder").alias("join_Norder"), F.col("Npix").alias("join_Npix")).agg(F.count(F.lit(1)).alias("m"))
-    obj = objects.select(F.col(object_id).alias("__oid")).distinct()
-    lost = src.join(obj, F.col("__sid").eqNullSafe(F.col("__oid")), "left_anti")
+    if pairs is None:
+        obj = objects.select(F.col(object_id).alias("__oid")).distinct()
+        lost = src.join(obj, F.col("__sid").eqNullSafe(F.col("__oid")), "left_anti")
+    else:
+        obj = objects.select(F.col(object_id).alias("__oid"), "Norder", "Npix").distinct()
+        near = src.drop("m").join(obj, F.col("__sid").eqNullSafe(F.col("__oid"))).join(pairs, PAIR, "left_semi")
+        found = near.select("__oid", F.col("join_Norder").alias("__o"), F.col("join_Npix").alias("__p")).distinct()
+        lost = src.join(found, F.col("__sid").eqNullSafe(F.col("__oid")) & (F.col("join_Norder") == F.col("__o")) & (F.col("join_Npix") == F.col("__p")), "left_anti")
     return lost.groupBy("join_Norder", dir_of(F.col("join_Npix")).alias("join_Dir"), "join_Npix").agg(F.sum("m").alias("num_rows"))
 
 

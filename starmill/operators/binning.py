@@ -1,16 +1,25 @@
 """Counts per cell and the adaptive set of partitions made from them.
 
 A histogram is a sparse table (cell, n) at one mapping order.  An alignment is a table (cell, Norder, Npix, n):
-the partition each non-empty cell goes to and that partition's count.  Neither is collected; the rows of a catalog
-are aligned by an equi-join on the cell, whose side AQE broadcasts only if its measured size allows.
+the partition each non-empty cell goes to and that partition's count.  Neither is collected.  The rows of a catalog are
+aligned without a shuffle: the sorted list of partitions goes to the tasks, which look each cell up by binary search.
+Up to PLACE_LIMIT partitions (17 bytes each) are sent; beyond it the rows are joined with the alignment on the cell.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starmill.functions.healpix import MAX_ORDER, ancestor, has_position, with_cell
+from starmill.functions.healpix import MAX_ORDER, ancestor, dir_of, has_position, n_cells, with_cell
+from starmill.session import written
+
+#: Most partitions whose list is sent to the tasks, some 70 MB.
+PLACE_LIMIT = 4_000_000
+#: The cell under which a histogram of all rows counts those without a position.
+NOWHERE = -1
 
 
 def histogram(df: DataFrame, ra: str, dec: str, order: int) -> DataFrame:
@@ -24,6 +33,16 @@ def histogram_of_index(df: DataFrame, index: str, order: int) -> DataFrame:
     return df.select(ancestor(F.col(index), MAX_ORDER, order).alias("cell")).where("cell is not null").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
+def histogram_of_all(df: DataFrame, order: int, ra: str = "ra", dec: str = "dec", index: str | None = None) -> DataFrame:
+    """(cell, n) of all rows, those without a position (or an index within the sky) under NOWHERE; one pass."""
+    if index is not None:
+        i = F.col(index)
+        cells = df.select(F.when(i.between(0, n_cells(MAX_ORDER) - 1), ancestor(i, MAX_ORDER, order)).otherwise(NOWHERE).alias("cell"))
+    else:
+        cells = with_cell(df.select(ra, dec), ra, dec, order, "cell").select(F.when(has_position(F.col(ra), F.col(dec)), F.col("cell")).otherwise(NOWHERE).alias("cell"))
+    return cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
 def merge_histograms(*parts: DataFrame) -> DataFrame:
     """The sum of histograms of one order."""
     out = parts[0]
@@ -93,11 +112,48 @@ def partitions_of(alignment: DataFrame) -> DataFrame:
     return alignment.select("Norder", "Npix", "n").distinct()
 
 
-def align_rows(df: DataFrame, alignment: DataFrame, cell: str = "cell") -> DataFrame:
-    """``df`` with Norder, Dir, Npix of each row's partition, in place of any it had; rows without one are dropped."""
+def partition_counts(alignment: DataFrame, hist: DataFrame) -> DataFrame:
+    """(Norder, Npix, n): the rows each partition of an alignment gets, counted by its cells."""
+    return alignment.select("cell", "Norder", "Npix").join(hist, "cell").groupBy("Norder", "Npix").agg(F.sum("n").alias("n"))
+
+
+def place_rows(df: DataFrame, partitions: list[tuple[int, int]], mapping_order: int, cell: str = "cell") -> DataFrame:
+    """``df`` with Norder, Dir, Npix of the partition (order, pixel) that holds its cell, in place of any it had.
+
+    Partitions do not overlap and are not finer than the mapping order.  Rows in none, or without a cell, are dropped.
+    """
+    order = np.array([o for o, _ in partitions], dtype=np.int8)
+    start = np.array([p << (2 * (mapping_order - o)) for o, p in partitions], dtype=np.int64)
+    at = np.argsort(start)
+    shared = df.sparkSession.sparkContext.broadcast((start[at], order[at]))
+
+    @F.pandas_udf("int")
+    def order_of(cells: pd.Series) -> pd.Series:
+        starts, orders = shared.value
+        c = cells.fillna(NOWHERE).to_numpy(np.int64)
+        if not len(starts):
+            return pd.Series(np.full(len(c), -1, dtype=np.int32))
+        k = np.maximum(np.searchsorted(starts, c, side="right") - 1, 0)
+        down = 2 * (mapping_order - orders[k].astype(np.int64))
+        return pd.Series(np.where((c >> down) == (starts[k] >> down), orders[k], -1).astype(np.int32))
+
+    found = df.drop("Norder", "Dir", "Npix").withColumn("Norder", order_of(F.col(cell))).where("Norder >= 0")
+    pixel = F.expr(f"shiftright(`{cell}`, 2 * ({mapping_order} - Norder))")
+    return found.withColumns({"Dir": dir_of(pixel), "Npix": pixel})
+
+
+def align_rows(df: DataFrame, alignment: DataFrame, mapping_order: int, cell: str = "cell", limit: int = PLACE_LIMIT) -> DataFrame:
+    """``df`` with Norder, Dir, Npix of each row's partition, in place of any it had; rows without one are dropped.
+
+    The alignment is computed now, once; both ways give the same rows.
+    """
+    alignment = written(alignment, "alignment")
+    parts = partitions_of(alignment)
+    if parts.count() <= limit:
+        return place_rows(df, [(int(r.Norder), int(r.Npix)) for r in parts.toLocalIterator()], mapping_order, cell)
     a = alignment.select(F.col("cell").alias("__aligned"), "Norder", "Npix")
-    joined = df.drop("Norder", "Dir", "Npix").join(a, F.col(cell) == F.col("__aligned")).drop("__aligned")
-    return joined.withColumn("Dir", (F.floor(F.col("Npix") / 10000) * 10000).cast("bigint"))
+    joined = df.drop("Norder", "Dir", "Npix").join(a, F.col(cell) == F.col("__aligned")).drop("__aligned", "Npix")
+    return joined.withColumn("Npix", F.expr(f"shiftright(`{cell}`, 2 * ({mapping_order} - Norder))")).withColumn("Dir", dir_of(F.col("Npix")))
 
 
 def sky_fraction(partitions: DataFrame) -> DataFrame:

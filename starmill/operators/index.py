@@ -29,9 +29,11 @@ def bucket_of(column: str, divisions: list) -> Column:
 def index_partitions(rows: DataFrame, column: str, n_partitions: int, divisions: list | None = None) -> DataFrame:
     """Range-partitioned by ``column`` and sorted within; nulls come first.
 
-    divisions: ends of the ranges, used if there are more than two; else the ranges are sampled by the engine.
+    divisions: ends of the ranges, used if there are more than two; else the ranges are sampled by the engine, over
+    the column and then the place, so that the rows of one hot value are spread over several partitions in order.
     """
     if divisions is not None and len(divisions) > 2:
         n = len(divisions) - 1
         return rows.withColumn("__bucket", bucket_of(column, divisions)).repartitionById(n, F.col("__bucket").cast("int")).drop("__bucket").sortWithinPartitions(column)
-    return rows.repartitionByRange(max(1, n_partitions), column).sortWithinPartitions(column)
+    place = [c for c in ("_healpix_29", "Norder", "Npix") if c in rows.columns and c != column]
+    return rows.repartitionByRange(max(1, n_partitions), column, *place).sortWithinPartitions(column, *place)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from starmill.functions.geometry import boundary_distance
 from starmill.functions.healpix import complement, dir_of, has_position, margin_ring, with_cell
 
+#: Most margin pixels that are sent to the tasks to drop rows far from every edge, 8 bytes each.
+EDGE_LIMIT = 4_000_000
+
 
 def with_negatives(spark: SparkSession, partitions: DataFrame) -> DataFrame:
     """(Norder, Npix) of the partitions and of the coarsest pixels without rows, so that these get margins too.
@@ -27,7 +31,7 @@ def with_negatives(spark: SparkSession, partitions: DataFrame) -> DataFrame:
 
 
 def margin_pairs(partitions: DataFrame, margin_order: int) -> DataFrame:
-    """The pairs of all partitions (Norder, Npix); every partition is coarser than ``margin_order``."""
+    """The pairs of all partitions (Norder, Npix), by margin pixel; every partition is coarser than ``margin_order``."""
 
     def rings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -35,15 +39,36 @@ def margin_pairs(partitions: DataFrame, margin_order: int) -> DataFrame:
                 ring = margin_ring(order, pixel, margin_order - order)
                 yield pd.DataFrame({"partition_order": order, "partition_pixel": pixel, "margin_pixel": ring}).astype({"partition_order": "int32"})
 
-    return partitions.select("Norder", "Npix").mapInPandas(rings, "partition_order int, partition_pixel bigint, margin_pixel bigint")
+    found = partitions.select("Norder", "Npix").mapInPandas(rings, "partition_order int, partition_pixel bigint, margin_pixel bigint")
+    return found.orderBy("margin_pixel", "partition_order", "partition_pixel")
+
+
+def at_edges(cells: DataFrame, pairs: DataFrame, cell: str, limit: int = EDGE_LIMIT) -> DataFrame:
+    """The rows whose cell is a margin pixel, without a shuffle: the sorted margin pixels are sent to the tasks.
+
+    Only a filter ahead of the join: beyond ``limit`` pixels all rows stay.
+    """
+    edge = pairs.select("margin_pixel").where("margin_pixel IS NOT NULL").distinct()
+    if edge.limit(limit + 1).count() > limit:
+        return cells
+    shared = cells.sparkSession.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in edge.toLocalIterator()), np.int64)))
+
+    @F.pandas_udf("boolean")
+    def known(c: pd.Series) -> pd.Series:
+        edges, c = shared.value, c.to_numpy(np.int64)
+        k = np.searchsorted(edges, c)
+        return pd.Series((k < len(edges)) & (edges[np.minimum(k, len(edges) - 1)] == c) if len(edges) else np.zeros(len(c), dtype=bool))
+
+    return cells.where(known(F.col(cell)))
 
 
 def margin_candidates(df: DataFrame, pairs: DataFrame, ra: str, dec: str, margin_order: int) -> DataFrame:
     """Rows with each partition whose ring they lie in, as margin_target_order and margin_target_pixel.
 
-    Pairs are made distinct first, so a row comes once a partition; rows without a position are dropped.
+    Pairs are made distinct first, so a row comes once a partition; rows without a position are dropped, and those
+    in no margin pixel before anything is shuffled.
     """
-    cells = with_cell(df.where(has_position(F.col(ra), F.col(dec))), ra, dec, margin_order, "__cell")
+    cells = at_edges(with_cell(df.where(has_position(F.col(ra), F.col(dec))), ra, dec, margin_order, "__cell"), pairs, "__cell")
     p = pairs.distinct().select(F.col("margin_pixel").alias("__cell"), F.col("partition_order").alias("margin_target_order"), F.col("partition_pixel").alias("margin_target_pixel"))
     return cells.join(p, "__cell").drop("__cell")
 

@@ -15,6 +15,7 @@ from starmill.operators import binning, index, margin
 from starmill.operators.proximity import clean_positions
 from starmill.queries import table
 from starmill.queries.proximity import _POS
+from starmill.session import written
 
 ORDER = 10
 THRESHOLD = 1000
@@ -48,11 +49,11 @@ def _source_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _objects_placed(spark: SparkSession, d: str) -> DataFrame:
-    return binning.align_rows(_object_cells(spark, d), _object_alignment(spark, d))
+    return binning.align_rows(_object_cells(spark, d), _object_alignment(spark, d), ORDER)
 
 
 def _sources_placed(spark: SparkSession, d: str) -> DataFrame:
-    return binning.align_rows(_source_cells(spark, d), _source_alignment(spark, d))
+    return binning.align_rows(_source_cells(spark, d), _source_alignment(spark, d), ORDER)
 
 
 def _live(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -131,7 +132,7 @@ def association_counts(spark, d):
 
 def association_near_counts(spark, d):
     """Only between partitions that overlap or touch."""
-    pairs = assoc.candidate_pairs(spark, binning.partitions_of(_object_alignment(spark, d)), binning.partitions_of(_source_alignment(spark, d)))
+    pairs = assoc.candidate_pairs(binning.partitions_of(_object_alignment(spark, d)), binning.partitions_of(_source_alignment(spark, d)))
     return assoc.association_counts(_objects_placed(spark, d), _sources_placed(spark, d), "id", "id", pairs)
 
 
@@ -172,15 +173,13 @@ def margin_coarse(spark, d):
 
 def margin_pairs(spark, d):
     """The pairs of the object partitions and of the empty sky round them."""
-    live = _live(spark, d, "sky_object")
-    lowest = live.join(live.select((F.col("Norder") + 1).alias("Norder"), F.col("Npix").alias("up")).distinct(), "Norder", "left").select("Norder", "Npix").distinct()
-    return margin.margin_pairs(margin.with_negatives(spark, lowest), MARGIN_ORDER)
+    return margin.margin_pairs(margin.with_negatives(spark, _live(spark, d, "sky_object")), MARGIN_ORDER)
 
 
 def margin_fine(spark, d):
     """Pairs one order below the finest partitions there can be, whose cells are still wider than the margin."""
-    placed = _objects_placed(spark, d).drop("cell")
-    pairs = margin.margin_pairs(margin.with_negatives(spark, placed), ORDER + 1)
+    placed = written(_objects_placed(spark, d).drop("cell"), "placed")
+    pairs = written(margin.margin_pairs(margin.with_negatives(spark, placed), ORDER + 1), "margin_pairs")
     return margin.margin_rows(placed, pairs, "ra", "dec", ORDER + 1, MARGIN_ARCSEC / 10)
 
 

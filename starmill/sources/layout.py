@@ -3,9 +3,9 @@
     <catalog>/properties, partition_info.csv
     <catalog>/dataset/Norder=k/Dir=d/Npix=n.parquet, _metadata, _common_metadata
 
-Rows come to the sink partitioned by pixel and sorted; a task writes pixel after pixel, batch by batch, each to a
-temporary name that is renamed when complete, so a lost or repeated task leaves no half file.  What comes back
-from the tasks is one row a file.
+Rows come to the sink partitioned by pixel and sorted; a task writes pixel after pixel, row group by row group, each
+to a temporary name that is renamed when complete, so a lost or repeated task leaves no half file and a leaf that is
+there is whole.  What comes back from the tasks is one row a file.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -70,71 +71,158 @@ def leaf_path(base: str, order: int, pixel: int) -> str:
     return f"{base}/Norder={order}/Dir={pixel // 10000 * 10000}/Npix={pixel}.parquet"
 
 
-def write_leaves(df: DataFrame, dataset: str, sort: list[str | Column], types: dict[str, pa.DataType] | None = None, split_groups_by: list[str] | None = None) -> DataFrame:
+#: Bytes of rows (in memory) after which a leaf starts a new row group.
+ROW_GROUP_BYTES = 128 << 20
+
+
+def _runs(table: pa.Table, names: list[str]) -> list[tuple[int, int]]:
+    """Spans of rows in which ``names``, whole numbers without nulls, do not change."""
+    new = np.zeros(max(0, table.num_rows - 1), dtype=bool)
+    for name in names:
+        values = table[name].to_numpy()
+        new |= values[1:] != values[:-1]
+    cuts = [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+class _File:
+    """A parquet file in the making: rows are held back until a row group is full or its key changes."""
+
+    def __init__(self, fs: pafs.FileSystem, base: str, final: str, schema: pa.Schema, aim: int | None):
+        self.fs, self.final, self.aim = fs, final, aim
+        self.temporary = f"{base}/_temporary/{uuid.uuid4().hex}"
+        fs.create_dir(f"{base}/_temporary", recursive=True)
+        fs.create_dir(final.rpartition("/")[0], recursive=True)
+        self.out = fs.open_output_stream(self.temporary)
+        self.writer = pq.ParquetWriter(self.out, schema)
+        self.held: list[pa.Table] = []
+        self.bytes = self.rows = 0
+        self.group: tuple | None = None
+
+    def add(self, piece: pa.Table, group: tuple | None = None) -> None:
+        if group != self.group:
+            self.flush()
+            self.group = group
+        self.held.append(piece)
+        self.bytes += piece.nbytes
+        self.rows += piece.num_rows
+        if self.aim is not None and self.bytes >= self.aim:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            whole = pa.concat_tables(self.held)
+            self.writer.write_table(whole, row_group_size=whole.num_rows)
+        self.held, self.bytes = [], 0
+
+    def close(self) -> int:
+        self.flush()
+        self.writer.close()
+        self.out.close()
+        self.fs.move(self.temporary, self.final)
+        return self.rows
+
+
+def _stored(batch: pa.RecordBatch, types: dict[str, pa.DataType]) -> pa.Table:
+    table = pa.Table.from_batches([batch])
+    return table.cast(pa.schema([pa.field(f.name, types.get(f.name, f.type)) for f in table.schema]))
+
+
+def write_leaves(df: DataFrame, dataset: str, sort: list[str | Column], types: dict[str, pa.DataType] | None = None, split_groups_by: list[str] | None = None, n_tasks: int = 0) -> DataFrame:
     """Write rows with Norder, Dir, Npix; (Norder, Npix, n_rows) of the files, when the result is run.
 
     sort: columns or expressions within a file, nulls last. types: storage types of columns, unsigned pixels by default.
-    split_groups_by: a new row group wherever these columns change. Running the result twice writes the same files.
+    A row group ends after ROW_GROUP_BYTES, or, with split_groups_by, where one of these whole numbers changes and
+    nowhere else. n_tasks: tasks of the shuffle, 0 as the session says. Running the result twice writes the same files.
     """
     types = UNSIGNED if types is None else types
-    placed = df.repartition("Norder", "Npix").sortWithinPartitions("Norder", "Npix", *[F.asc_nulls_last(c) for c in sort])
+    by = split_groups_by or []
+    placed = (df.repartition(n_tasks, "Norder", "Npix") if n_tasks else df.repartition("Norder", "Npix")).sortWithinPartitions("Norder", "Npix", *[F.asc_nulls_last(c) for c in sort])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(dataset)
         done: list[tuple[int, int, int]] = []
-        current, writer, temporary, n = None, None, "", 0
-
-        def close() -> None:
-            nonlocal writer
-            if writer is not None:
-                writer.close()
-                fs.move(temporary, leaf_path(base, *current))
-                done.append((*current, n))
-                writer = None
-
+        current, leaf = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            keys = list(zip(table["Norder"].to_pylist(), table["Npix"].to_pylist(), *[table[c].to_pylist() for c in split_groups_by or []], strict=True))
-            schema = pa.schema([pa.field(f.name, types.get(f.name, f.type)) for f in table.schema])
-            table = table.cast(schema)
-            cuts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                pixel = keys[a][:2]
+            table = _stored(batch, types)
+            for a, z in _runs(table, ["Norder", "Npix", *by]):
+                piece = table.slice(a, z - a)
+                pixel = (int(piece["Norder"][0].as_py()), int(piece["Npix"][0].as_py()))
                 if pixel != current:
-                    close()
-                    current, n = pixel, 0
-                    final = leaf_path(base, *pixel)
-                    folder = final.rpartition("/")[0]
-                    fs.create_dir(folder, recursive=True)
-                    temporary = f"{folder}/.{uuid.uuid4().hex}.tmp"
-                    writer = pq.ParquetWriter(fs.open_output_stream(temporary), schema)
-                writer.write_table(table.slice(a, z - a))
-                n += z - a
-        close()
+                    if leaf is not None:
+                        done.append((*current, leaf.close()))
+                    current, leaf = pixel, _File(fs, base, leaf_path(base, *pixel), table.schema, None if by else ROW_GROUP_BYTES)
+                leaf.add(piece, tuple(piece[c][0].as_py() for c in by))
+        if leaf is not None:
+            done.append((*current, leaf.close()))
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["Norder", "Npix", "n_rows"])
 
     return placed.mapInArrow(run, "Norder int, Npix bigint, n_rows bigint")
 
 
-def write_metadata(dataset: str, leaves: list[str]) -> int:
-    """_metadata and _common_metadata of the leaf files (paths below ``dataset``); the rows they hold.
+def write_parts(df: DataFrame, dataset: str, folder: str, types: dict[str, pa.DataType] | None = None) -> DataFrame:
+    """Write each partition of ``df`` as <dataset>/<folder>/part.<number>.parquet; (part, n_rows), when the result is run.
 
-    Footers only are read; a catalog has some thousand leaves.
+    Partitions without rows write no file.
     """
-    fs, base = filesystem(dataset)
+    types = UNSIGNED if types is None else types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        fs, base = filesystem(dataset)
+        number, part = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if batch.num_rows:
+                table = _stored(batch, types)
+                part = part or _File(fs, base, f"{base}/{folder}/part.{number}.parquet", table.schema, ROW_GROUP_BYTES)
+                part.add(table)
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([part.close()], pa.int64())], names=["part", "n_rows"])
+
+    return df.mapInArrow(run, "part int, n_rows bigint")
+
+
+def footers(spark: SparkSession, dataset: str, files: list[str]) -> DataFrame:
+    """(at, n_rows, footer) of each file below ``dataset``, read by tasks; files that are not there are left out."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = filesystem(dataset)
+        for batch in batches:
+            out = []
+            for at, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if fs.get_file_info(f"{base}/{file}").type != pafs.FileType.File:
+                    continue
+                with fs.open_input_file(f"{base}/{file}") as f:
+                    footer = pq.read_metadata(f)
+                footer.set_file_path(file)
+                held = pa.BufferOutputStream()
+                footer.write_metadata_file(held)
+                out.append((at, footer.num_rows, held.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["at", "n_rows", "footer"])
+
+    plan = spark.createDataFrame(list(enumerate(files)), "at bigint, file string")
+    return plan.repartition(max(1, min(len(files) // 64, 10_000)), "at").mapInArrow(read, "at bigint, n_rows bigint, footer binary")
+
+
+def write_metadata(spark: SparkSession, dataset: str, files: list[str]) -> int:
+    """_metadata and _common_metadata of files (paths below ``dataset``, in this order); the rows they hold.
+
+    Tasks read the footers; the driver joins them one by one to the file it writes.  Without files nothing is written.
+    """
+    remove(f"{dataset}/_temporary")
     whole, rows = None, 0
-    for leaf in leaves:
-        with fs.open_input_file(f"{base}/{leaf}") as f:
-            footer = pq.ParquetFile(f).metadata
-        footer.set_file_path(leaf)
+    for r in footers(spark, dataset, files).orderBy("at").toLocalIterator() if files else ():
+        footer = pq.read_metadata(pa.BufferReader(r.footer))
         rows += footer.num_rows
         if whole is None:
             whole = footer
         else:
             whole.append_row_groups(footer)
     if whole is not None:
+        fs, base = filesystem(dataset)
         with fs.open_output_stream(f"{base}/_metadata") as f:
             whole.write_metadata_file(f)
         with fs.open_output_stream(f"{base}/_common_metadata") as f:
@@ -142,6 +230,23 @@ def write_metadata(dataset: str, leaves: list[str]) -> int:
     return rows
 
 
+def stored_schema(df: DataFrame, types: dict[str, pa.DataType] | None = None) -> pa.Schema:
+    """The schema rows of ``df`` have in a leaf."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    types = UNSIGNED if types is None else types
+    return pa.schema([pa.field(f.name, types.get(f.name, f.type)) for f in to_arrow_schema(df.schema)])
+
+
+def write_schema(dataset: str, schema: pa.Schema) -> None:
+    """_metadata and _common_metadata of a dataset without rows."""
+    fs, base = filesystem(dataset)
+    fs.create_dir(base, recursive=True)
+    for name in ("_metadata", "_common_metadata"):
+        with fs.open_output_stream(f"{base}/{name}") as f:
+            pq.write_metadata(schema, f)
+
+
 def leaf_names(pixels: list[tuple[int, int]]) -> list[str]:
     """Leaf paths below the dataset, in sky order."""
     ordered = sorted(pixels, key=lambda p: (p[1] << (2 * (29 - p[0])), p[0]))
@@ -223,6 +328,15 @@ class Catalog:
         df = df.withColumns({p + c: F.col(p + c).cast(t) for p in ("", "margin_", "join_") for c, t in kinds.items() if p + c in df.columns})
         return df.select(*columns) if columns else df
 
+    def column_names(self) -> list[str] | None:
+        """Names of the columns of the leaves; None if there is neither _common_metadata nor _metadata."""
+        for name in ("_common_metadata", "_metadata"):
+            fs, p = filesystem(f"{self.path}/dataset/{name}")
+            if fs.get_file_info(p).type == pafs.FileType.File:
+                with fs.open_input_file(p) as f:
+                    return pq.read_schema(f).names
+        return None
+
     def partitions(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.pixels, "Norder int, Npix bigint")
 
@@ -231,21 +345,52 @@ def sky_fraction(pixels: list[tuple[int, int]]) -> float:
     return sum(1 / (12 * 4**o) for o, _ in pixels)
 
 
+def _fits_header(n: int, size: int, order: int) -> bytes:
+    card = lambda k, v: f"{k:<8}= {v:>20}".ljust(80)
+    cards = [card("SIMPLE", "T"), card("BITPIX", 8 * size), card("NAXIS", 1), card("NAXIS1", n), card("PIXTYPE", "'HEALPIX '"), card("ORDERING", "'NESTED  '"), card("COORDSYS", "'CEL     '"), card("NSIDE", 1 << order), "END".ljust(80)]
+    head = "".join(cards)
+    return head.ljust(-(-len(head) // 2880) * 2880).encode()
+
+
 def write_fits_map(path: str, data: np.ndarray, order: int) -> None:
     """Values of all cells in nested order as a FITS image, in celestial coordinates."""
-    card = lambda k, v: f"{k:<8}= {v:>20}".ljust(80)
-    cards = [card("SIMPLE", "T"), card("BITPIX", 8 * data.dtype.itemsize), card("NAXIS", 1), card("NAXIS1", len(data)), card("PIXTYPE", "'HEALPIX '"), card("ORDERING", "'NESTED  '"), card("COORDSYS", "'CEL     '"), card("NSIDE", 1 << order), "END".ljust(80)]
-    head, body = "".join(cards), data.astype(data.dtype.newbyteorder(">")).tobytes()
+    body = data.astype(data.dtype.newbyteorder(">")).tobytes()
     fs, p = filesystem(path)
     with fs.open_output_stream(p) as f:
-        f.write(head.ljust(-(-len(head) // 2880) * 2880).encode() + body + b"\0" * (-len(body) % 2880))
+        f.write(_fits_header(len(data), data.dtype.itemsize, order) + body + b"\0" * (-len(body) % 2880))
 
 
-def write_point_map(path: str, counts: dict[int, int], order: int) -> None:
-    """The histogram as a map of 64-bit counts."""
-    data = np.zeros(12 << (2 * order), dtype=np.int64)
-    data[np.fromiter(counts.keys(), np.int64, len(counts))] = np.fromiter(counts.values(), np.int64, len(counts))
-    write_fits_map(path, data, order)
+#: Cells of a point map that one task lays out, as a power of two.
+MAP_BLOCK = 18
+
+
+def write_point_map(path: str, hist: DataFrame, order: int) -> None:
+    """The histogram (cell, n) as a map of 64-bit counts, of any order.
+
+    Tasks lay out blocks of cells; the driver writes one block after the other and never holds the map.
+    """
+    n = 12 << (2 * order)
+    size = min(n, 1 << MAP_BLOCK)
+
+    def dense(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        data = np.zeros(size, dtype=">i8")
+        np.add.at(data, pdf.cell.to_numpy(np.int64) % size, pdf.n.to_numpy(np.int64))
+        return pd.DataFrame({"block": [key[0]], "data": [data.tobytes()]})
+
+    blocks = hist.where(F.col("cell").between(0, n - 1)).groupBy(F.floor(F.col("cell") / size).cast("bigint").alias("block")).applyInPandas(dense, "block bigint, data binary").orderBy("block")
+    fs, p = filesystem(path)
+    fs.create_dir(p.rpartition("/")[0], recursive=True)
+    empty, at = bytes(8 * size), 0
+    with fs.open_output_stream(p) as f:
+        f.write(_fits_header(n, 8, order))
+        for r in blocks.toLocalIterator():
+            for _ in range(at, r.block):
+                f.write(empty)
+            f.write(bytes(r.data))
+            at = r.block + 1
+        for _ in range(at, n // size):
+            f.write(empty)
+        f.write(b"\0" * (-8 * n % 2880))
 
 
 def read_fits_map(path: str) -> tuple[np.ndarray, bool] | None:

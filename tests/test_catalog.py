@@ -67,7 +67,7 @@ def test_margins_of_partitions_of_the_mapping_order(spark, tmp_path):
     ra, dec = 45.0 + rng.uniform(-0.05, 0.05, n), 10.0 + rng.uniform(-0.05, 0.05, n)
     pd.DataFrame({"id": range(n), "ra": ra, "dec": dec}).to_parquet(tmp_path / "sky_catalog.parquet")
     d = str(tmp_path)
-    placed = catalog._objects_placed(spark, d).drop("cell").localCheckpoint()
+    placed = catalog._objects_placed(spark, d).drop("cell").cache()
     parts = {(r.Norder, r.Npix) for r in placed.select("Norder", "Npix").distinct().collect()}
     dense = sorted(p for o, p in parts if o == catalog.ORDER)
     assert placed.count() == n and dense
