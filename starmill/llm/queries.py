@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from starmill.llm import quantile_queries
 from starmill.llm.bpe import encode_column
-from starmill.llm.leakage import leaks
+from starmill.llm.leakage import build_index, leaks, search_near
 from starmill.llm.pii import find_personal, redact
 from starmill.queries import table
 
@@ -28,6 +28,12 @@ def p9_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).selectExpr("doc AS doc_id", "item AS item_id", "n_words")
 
 
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with twelve consecutive words of an item within eighteen words, in whatever order."""
+    index = build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return search_near(index, table(spark, sf_dir, "eval_items"), "item_id", "text").selectExpr("doc AS doc_id", "item AS item_id", "n_words AS n_stretch")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(table(spark, sf_dir, "documents"), "doc_id", "text").selectExpr("doc AS doc_id", "kind", "found AS found_text").distinct()
 
@@ -38,5 +44,5 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(docs, "doc_id", "text", find_personal(docs, "doc_id", "text"))
 
 
-QUERIES = {**quantile_queries.QUERIES, "p8_ids": p8_ids, "p9_found": p9_found, "p9_lengths": p9_lengths, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {**quantile_queries.QUERIES, "p8_ids": p8_ids, "p9_found": p9_found, "p9_lengths": p9_lengths, "p9_near": p9_near, "p10_found": p10_found, "p10_redacted": p10_redacted}
 SQL: dict[str, str] = {**quantile_queries.SQL}
