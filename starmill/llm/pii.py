@@ -1,17 +1,23 @@
 """Personal data in free text: found by weak supervision, replaced by typed placeholders.
 
 1. Every text is scanned once for candidate spans, each with the votes of the labelers of its form and of its
-   surroundings (pii_spans.py).  The candidates, some per mille of the text, are written to the shared folder.
-2. Gazetteers are gathered from the corpus itself: words that stand where the other labelers are sure.  They are
-   tables, joined on the word, and vote as labelers too.
-3. Expectation maximisation over the counts of vote patterns (at most 3 ** 8 a kind) estimates each labeler's
+   surroundings (pii_spans.py); the words written in lower case are counted with them.  Both are written to the shared
+   folder; the candidates are some per mille of the text.
+2. Gazetteers are gathered from the corpus itself: words that stand where the other labelers are sure, words of
+   candidates that are common words elsewhere, words with many or few partners.  They are tables, joined on the word,
+   and vote as labelers too.
+3. Expectation maximisation over the counts of vote patterns (at most 3 ** 11 a kind) estimates each labeler's
    reliability and the probability of each pattern (Dawid and Skene 1979).
 4. A logistic span classifier is fitted to these probabilities on at most TRAIN_ROWS candidates, and scores all
    candidates as a column expression.  Of spans that overlap the best is kept.
+
+Traps (robots' mailboxes, remotes, words of an address) are a labeler like the others, but with a reliability that is
+known; the classifier learns its weight with those of the others and decides.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,68 +28,105 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starmill.llm.pii_spans import KINDS, LABELERS, candidates
-from starmill.session import scratch_path
+from starmill.session import written
 
 #: Most candidates the span classifier is fitted on, over all kinds; they are drawn by hash and go to the driver.
 TRAIN_ROWS = 20_000
-#: Labelers that look up gazetteers: the first key, the last key, the end of the last key.
+#: Gazetteers of surely true words: the first key, the last key, the end of the last key.
 SLOTS = ("first", "last", "ending")
-VOTERS = (*LABELERS, *SLOTS)
+#: Labelers by the corpus: those gazetteers, whether a name's words are common words, how many partners its words have.
+VOTERS = (*LABELERS, *SLOTS, "common", "partners")
 TRAP = VOTERS.index("trap")
+#: Log odds of what the labeler of traps votes against, and the weight of what is believed before anything is counted.
+TRAP_ODDS, BELIEF = -8.0, 0.1
+#: Kind of the rows that count words in lower case, and how many different ones a task gathers before it hands them on.
+WORD, WORDS_HELD = "word", 200_000
 
 
 def scan(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, kind, a, b, found, first, last, votes array<int>) of all candidates; offsets count characters."""
+    """(doc, kind, a, b, found, first, last, votes array<int>) of all candidates; offsets count characters.
+
+    Rows of kind WORD have in ``found`` a word in lower case and in ``a`` how often it is in some of the texts.
+    """
     schema = T.StructType([T.StructField("doc", df.schema[key].dataType), T.StructField("kind", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("found", T.StringType()), T.StructField("first", T.StringType()), T.StructField("last", T.StringType()), T.StructField("votes", T.ArrayType(T.IntegerType()))])
     doc_type = pa.string() if isinstance(df.schema[key].dataType, T.StringType) else pa.int64()
     types = [doc_type, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32())]
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, types, strict=True)], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[str] = Counter()
+        counted = lambda: batch_of([(None, WORD, n, 0, w, "", "", None) for w, n in words.items()])
         for batch in batches:
             rows = []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = t.as_py()
                 rows += [(doc, kind, a, b, t[a:b], first, last, [v[x] for x in LABELERS]) for kind, a, b, first, last, v in candidates(t)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, types, strict=True)], names=schema.names)
+                words.update(w for w in (t or "").split() if w.isalpha() and w.islower())
+            yield batch_of(rows)
+            if len(words) >= WORDS_HELD:
+                yield counted()
+                words.clear()
+        yield counted()
 
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def with_gazetteers(found: DataFrame) -> DataFrame:
-    """Append the votes of the gazetteers to ``votes``."""
+def with_gazetteers(scanned: DataFrame) -> DataFrame:
+    """The candidates of ``scan`` with the votes of the gazetteers appended to ``votes``."""
     v = lambda name: F.get("votes", F.lit(LABELERS.index(name)))
     total = F.aggregate("votes", F.lit(0), lambda acc, x: acc + x)
-    sure = (v("form") > 0) & F.forall("votes", lambda x: x >= 0) & F.when(F.col("kind") == "name", (v("trap") > 0) | ((v("before") > 0) & (v("after") > 0))).otherwise(total >= 2)
-    keyed = found.withColumns({"sure": sure, "ending": F.when(F.col("kind") == "name", F.expr("right(last, 4)"))})
+    sure = (v("form") > 0) & (v("trap") >= 0) & F.when(F.col("kind") == "name", (v("before") > 0) & (v("after") > 0) & ((v("line") > 0) | (v("prose") > 0))).otherwise(total >= 2)
+    keyed = scanned.where(F.col("kind") != WORD).withColumns({"sure": sure, "ending": F.when(F.col("kind") == "name", F.expr("right(last, 4)"))})
     for slot in SLOTS:
         known = keyed.groupBy("kind", slot).agg(F.sum(F.col("sure").cast("int")).alias("n_sure"), F.count(F.lit(1)).alias("n_all"))
         vote = F.when((F.col("n_sure") >= 2) & (F.col("n_sure") >= 0.2 * F.col("n_all")), 1).when((F.col("n_all") >= 3) & (F.col("n_sure") <= 0.02 * F.col("n_all")), -1).otherwise(0)
         known = known.where(F.col(slot) != "").select(F.col("kind").alias("k"), F.col(slot).alias("w"), vote.alias(f"vote_{slot}"))
         keyed = keyed.join(known, (F.col("kind") == F.col("k")) & (F.col(slot) == F.col("w")), "left").drop("k", "w")
-    return keyed.withColumn("votes", F.concat("votes", F.array(*[F.coalesce(f"vote_{slot}", F.lit(0)) for slot in SLOTS]))).drop(*[f"vote_{s}" for s in SLOTS], "ending", "sure")
+    lower = scanned.where(F.col("kind") == WORD).groupBy(F.col("found").alias("w")).agg(F.sum("a").alias("n_lower"))
+    pairs = keyed.where("kind = 'name'").groupBy("first", "last").agg(F.count(F.lit(1)).alias("n"))
+    for slot in ("first", "last"):
+        stats = pairs.groupBy(F.col(slot).alias("w")).agg(F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("n_pairs")).join(lower, "w", "left")
+        common = F.when(F.col("n_lower") >= F.col("n_all"), -1).otherwise(0)
+        # a name's words come with many others; those of a title or heading come back together
+        partners = F.when((F.col("n_all") >= 20) & (F.col("n_pairs") <= 0.05 * F.col("n_all")), -1).when((F.col("n_all") >= 5) & (F.col("n_pairs") >= 0.5 * F.col("n_all")), 1).otherwise(0)
+        stats = stats.select(F.lit("name").alias("k"), "w", common.alias(f"common_{slot}"), partners.alias(f"partners_{slot}"))
+        keyed = keyed.join(stats, (F.col("kind") == F.col("k")) & (F.col(slot) == F.col("w")), "left").drop("k", "w")
+    held = lambda c: F.coalesce(F.col(c), F.lit(0))
+    both = F.when(F.least(held("partners_first"), held("partners_last")) < 0, -1).otherwise(F.greatest(held("partners_first"), held("partners_last")))
+    votes = F.concat("votes", F.array(*[held(f"vote_{slot}") for slot in SLOTS], F.least(held("common_first"), held("common_last")), both))
+    return keyed.withColumn("votes", votes).select(*scanned.columns)
 
 
 def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Probability of each vote pattern (rows of -1, 0, 1) to be true, by expectation maximisation.
 
     Labelers are taken as independent given the truth; a labeler of the text that sees no sign tells something by
-    that, a gazetteer that does not know a word tells nothing.  It starts from the majority, and smoothing keeps a labeler
-    from ever being certain.  Only the labeler of traps is: what it votes against (robots' mailboxes, remotes,
-    words of an address) is no personal data by definition.
+    that, a gazetteer that does not know a word tells nothing.  It starts from the majority, and smoothing keeps a
+    labeler from ever being certain.  What is believed beforehand, that votes for come with true candidates and votes
+    against with false ones, counts BELIEF of the candidates: without it nothing would tell classes apart whose votes
+    agree.  The reliability of the labeler of traps is known (TRAP_ODDS), not estimated, and what it votes against takes
+    no part in the estimation: a corpus full of robots' mail would spoil the others' figures.
     """
-    trapped = patterns[:, TRAP] < 0
-    p = np.where(trapped, 0.0, 1 / (1 + np.exp(-1.5 * patterns.sum(axis=1))))
-    hot = np.stack([patterns == x for x in (-1, 0, 1)], axis=2).astype(float)
+    free = np.array(patterns)
+    trapped = free[:, TRAP] < 0
+    free[:, TRAP] = 0
+    n = np.where(trapped, 0.0, counts)
+    p = 1 / (1 + np.exp(-1.5 * (free.sum(axis=1) - 0.5)))
+    hot = np.stack([free == x for x in (-1, 0, 1)], axis=2).astype(float)
     hot[:, len(LABELERS) :, 1] = 0.0
+    true = np.tile([0.1, 0.45, 0.45], (free.shape[1], 1)) * n.sum() * BELIEF
     for _ in range(rounds):
         logs = []
-        for w in (p * counts, (1 - p) * counts):
-            votes = np.einsum("p,pvx->vx", w, hot)
+        for w, before in ((p * n, true), ((1 - p) * n, true[:, ::-1])):
+            votes = np.einsum("p,pvx->vx", w, hot) + before
             share = (votes + 1.0) / (votes.sum(axis=1, keepdims=True) + 3.0)
-            logs.append(np.einsum("pvx,vx->p", hot, np.log(share)) + np.log((w.sum() + 1) / (counts.sum() + 2)))
-        p = np.where(trapped, 0.0, 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -50, 50))))
-    return p
+            logs.append(np.einsum("pvx,vx->p", hot, np.log(share)) + np.log((w.sum() + 1) / (n.sum() + 2)))
+        odds = np.clip(logs[0] - logs[1], -6, 6)  # labelers are not quite independent: no pattern is certain
+        p = 1 / (1 + np.exp(-odds))
+    return 1 / (1 + np.exp(-(odds + TRAP_ODDS * trapped)))
 
 
 #: Features of a span besides its votes: expressions over ``found``, each about 0 to 1.
@@ -127,21 +170,19 @@ def train(voted: DataFrame) -> dict[str, np.ndarray]:
             continue
         patterns, counts = np.array(own.votes.tolist()).reshape(len(own), len(VOTERS)), own.n.to_numpy(float)
         truth = reliabilities(patterns, counts)
-        # what traps hold is out whatever the score, so it would teach the classifier nothing
-        free = patterns[:, TRAP] >= 0
-        rows = sample[(sample.kind == kind) & sample.votes.map(lambda v: v[TRAP] >= 0)]
+        rows = sample[sample.kind == kind]
         if len(rows) >= 50:
             label = dict(zip(map(tuple, patterns.tolist()), truth, strict=True))
             votes = np.array(rows.votes.tolist()).reshape(len(rows), len(VOTERS))
             y = np.array([label[tuple(v)] for v in votes.tolist()])
             models[kind] = fit_logistic(features(votes, rows[[f"f{k}" for k in range(len(SPAN_FEATURES))]].to_numpy(float)), y, np.ones(len(rows)), ridge=0.05)
         else:
-            models[kind] = fit_logistic(features(patterns[free]), truth[free], counts[free], ridge=0.05)
+            models[kind] = fit_logistic(features(patterns), truth, counts, ridge=0.05)
     return models
 
 
 def score(models: dict[str, np.ndarray]) -> Column:
-    """Probability of a candidate as a column expression; null for kinds without a model, 0 for traps."""
+    """Probability of a candidate as a column expression; null for kinds without a model."""
     out = F.lit(None).cast("double")
     for kind, beta in models.items():
         n = len(VOTERS)
@@ -152,7 +193,7 @@ def score(models: dict[str, np.ndarray]) -> Column:
         for k, e in enumerate(SPAN_FEATURES):
             z = z + F.expr(e).cast("double") * float(beta[1 + 2 * n + k])
         out = F.when(F.col("kind") == kind, 1 / (1 + F.exp(-z))).otherwise(out)
-    return F.when(F.get("votes", F.lit(TRAP)) < 0, 0.0).otherwise(out)
+    return out
 
 
 def best_spans(scored: DataFrame) -> DataFrame:
@@ -172,9 +213,7 @@ def find_personal(df: DataFrame, key: str, text: str, threshold: float = 0.5) ->
 
     Null and empty texts hold none.  A corpus without candidates gives no rows.
     """
-    path = scratch_path(df.sparkSession, "candidates")
-    scan(df, key, text).write.parquet(path)
-    voted = with_gazetteers(df.sparkSession.read.parquet(path))
+    voted = written(with_gazetteers(written(scan(df, key, text), "candidates")), "voted")  # read for counts, sample and scores
     scored = voted.withColumn("p", score(train(voted))).where(F.col("p") > threshold)
     return best_spans(scored)
 

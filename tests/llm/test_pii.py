@@ -27,7 +27,7 @@ def test_candidates(text, kind, want):
     assert want in found(text, kind)
 
 
-@pytest.mark.parametrize("text, kind", [("took 932 s at 192.0.2.196.", "phone"), ("run_id: 16586026-9086-4172-a111-282972162588", "phone"), ("+53.911823,97.870754", "phone"), ("Release 2024.9.14 supersedes 0336-10-15.", "phone"), ("WHERE a >= 413 AND row IS NOT NULL", "address"), ("GROUP BY cell", "name"), ("tidecalc@2.5.6", "email")])
+@pytest.mark.parametrize("text, kind", [("took 932 s at 192.0.2.196.", "phone"), ("run_id: 16586026-9086-4172-a111-282972162588", "phone"), ("+53.911823,97.870754", "phone"), ("Release 2024.9.14 supersedes 0336-10-15.", "phone"), ("WHERE a >= 413 AND row IS NOT NULL", "address"), ("GROUP BY cell", "name"), ("tidecalc@2.5.6", "email"), ("THE ORDER BY clause", "name"), ("Dear Anna", "name")])
 def test_no_candidates(text, kind):
     assert found(text, kind) == set()
 
@@ -66,11 +66,48 @@ def test_precision_recall_and_redaction(spark):
     assert find_personal(df.where("doc_id >= 1000"), "doc_id", "text").collect() == []
 
 
+#: Plain sentences, none of them of the test tables.
+PROSE = [
+    "My name is {} and I work in sales.", "Dear {}, thank you for your message.", "Patient: {}, admitted on Monday.", "I met {} at the conference in spring.", "{} called yesterday about the invoice.", "We interviewed {} last week.",
+    "Kind regards,\n{}", "According to {}, prices will rise again.", "{} lives next door and plays the piano.", "In 2019 {} founded the company.", "{}'s proposal was accepted.", "The keys are with {} until noon.",
+    "I forwarded the letter to {}.", "Our neighbour {} has moved away.", "The prize went to {}, who scored twice.", "Tenant {} (flat 4) paid in March.",
+]
+MORE = {
+    "email": (["You can write to {} if needed.", "His mail is {}, as far as I know."], lambda r, k: f"some.one{k}@mail{k % 7}.example.com"),
+    "phone": (["My number is {} in the evening.", "She picks up at {} most days."], lambda r, k: f"+44 20 7946 {r.randrange(1000, 9999)}"),
+    "address": (["We live at {}, near the old market.", "The parcel went to {} again."], lambda r, k: f"{r.randrange(1, 300)} {r.choice(['Maple', 'Elm', 'Victoria', 'Station'])} {r.choice(['Street', 'Avenue', 'Road', 'Lane'])}"),
+    "id_number": (["His SSN is {} on file.", "The form gives social security number {} twice."], lambda r, k: f"{r.randrange(100, 899)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}"),
+}
+NOISE = "The weather was fine and the Northern Railway ran on time. Machine Learning is a common topic in machine shops and learning centres. Room 214 was booked 3 times in 2023-04-05."
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_unseen_prose(spark, mixed):
+    """All kinds in 640 plain texts, by themselves and among other texts."""
+    r = random.Random(7)
+    given = "Alice Robert Marta Joon Priya Dmitri Fatima Carlos Ingrid Wei Kofi Elena Thomas Amara Nikolai Sofia".split()
+    family = "Henderson Okafor Lindqvist Moreau Takahashi Petrov Alvarez Schmidt Novak Banerjee Fitzgerald Romano Haddad Larsen Kowalski Mbeki".split()
+    docs, truth = [], set()
+    for k in range(640):
+        i, name = 10**6 + k, f"{r.choice(given)} {r.choice(family)}"
+        kind = list(MORE)[k % 4]
+        forms, make = MORE[kind]
+        other = make(r, k)
+        docs.append((i, f"{PROSE[k % len(PROSE)].format(name)} {r.choice(forms).format(other)} {NOISE}"))
+        truth |= {(i, "name", name), (i, kind, other)}
+    rows = docs + (corpus()[0] if mixed else [])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(x.doc, x.kind, x.found) for x in find_personal(df, "doc_id", "text").collect() if x.doc >= 10**6}
+    for kind in ("name", *MORE):
+        g, t = {x for x in got if x[1] == kind}, {x for x in truth if x[1] == kind}
+        assert len(g & t) >= 0.95 * len(t) and len(g & t) >= 0.95 * len(g), (kind, sorted(x[2] for x in g - t)[:5], sorted(x[2] for x in t - g)[:5])
+
+
 def test_em_and_classifier():
     rng = np.random.default_rng(0)
     truth = rng.random(5000) < 0.3
     votes = np.zeros((5000, len(VOTERS)), dtype=int)
-    for k, (hit, keep) in enumerate([(0.9, 0.9), (0.8, 0.7), (0.85, 0.5), (0.6, 0.9), (0.99, 0.0), (0.9, 0.4), (0.75, 0.8), (0.7, 0.3)]):
+    for k, (hit, keep) in enumerate([(0.9, 0.9), (0.8, 0.7), (0.85, 0.5), (0.6, 0.9), (0.7, 0.5), (0.99, 0.0), (0.9, 0.4), (0.75, 0.8), (0.7, 0.3), (0.8, 0.4), (0.8, 0.4)]):
         right = rng.random(5000) < hit
         votes[:, k] = np.where(rng.random(5000) < keep, np.where(right == truth, 1, -1), 0)
     patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
@@ -78,9 +115,13 @@ def test_em_and_classifier():
     assert ((p[inverse.ravel()] > 0.5) == truth).mean() > 0.93
     beta = fit_logistic(features(patterns), p, counts.astype(float))
     assert (((features(votes) @ beta) > 0) == truth).mean() > 0.93
-    trapped = np.zeros((1, len(VOTERS)), dtype=int) + 1
-    trapped[0, TRAP] = -1
-    assert reliabilities(trapped, np.array([9.0]))[0] == 0
+    # traps weigh against as much as they are known to, however many there are, and spoil no other labeler's figures
+    plain = np.zeros((2, len(VOTERS)), dtype=int)
+    plain[:, :3] = 1
+    plain[1, TRAP] = -1
+    for counts in ([50.0, 50.0], [90.0, 10.0], [10.0, 90.0]):
+        p = reliabilities(plain, np.array(counts))
+        assert p[0] > 0.9 and p[1] < 0.2
 
 
 def test_overlaps(spark):
