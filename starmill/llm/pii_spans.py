@@ -37,7 +37,7 @@ _NUMBER_PARTS = (
     re.compile(r"(?:\+?1[ .-])?(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}$"),  # north american
 )
 _PHONE_CUE = re.compile(r"(?:\b(?:tel|phone|telefon|téléphone|teléfono|fon|fax|mob|mobile|mobil|móvil|cell|call|ring|desk|reach(?:able|ed)?|under|unter|anrufen|rufnummer|numéro|número|pager|number|nummer|dial|text|sms|whatsapp|t|back|on|at|au|al)\b[\W_]{0,6}(?:on|under|at|is|no|me|us)?[\W_]{0,4})$", re.I)
-_PHONE_AFTER = re.compile(r"^(?:\W{0,2}$|\s?[|;\t<'\"),.!?]|\s[^\W\d_]|\s?[\r\n])", re.I)
+_PHONE_AFTER = re.compile(r"^(?:\W{0,2}$|\s?[|;\t<'\"),.!?]|\s?[\r\n])", re.I)
 _ID_FORMS = (
     re.compile(r"\d{3}-\d{2}-\d{4}$"),
     re.compile(r"\d{2} \d{3} \d{3} \d{3}$"),
@@ -176,7 +176,7 @@ def _number_votes(text: str, a: int, b: int) -> Iterator[tuple[str, int, int, di
     if phone[-1].isdigit() and any(p.match(phone) for p in _NUMBER_PARTS) and 8 <= digits <= 15:
         cue = _PHONE_CUE.search(before)
         strict = _NUMBER_PARTS[0].match(phone) or _NUMBER_PARTS[3].match(phone) or phone.startswith("0")
-        yield "phone", pa, b, {"form": 1 if strict else 0, "before": -1 if labelled else 1 if cue or re.search(r"[;|\t'\">=]\s?$", before) else 0, "after": 1 if _PHONE_AFTER.match(after) else 0, "line": -1 if re.search(r"[{}]$|0x", text[start : b + 20]) else 0, "prose": 0, "trap": odd}
+        yield "phone", pa, b, {"form": 1 if strict else 0, "before": -1 if labelled else 1 if cue or re.search(r"[;|\t'\">=]\s?$", before) else 0, "after": 1 if _PHONE_AFTER.match(after) else 0, "line": -1 if re.search(r"[{}]$|0x", text[start : b + 20]) else 0, "prose": 0, "trap": -1 if text[b : b + 1].isalpha() else odd}
     if any(p.match(raw) for p in _ID_FORMS):
         yield "id_number", a, b, {"form": 1 if any(p.match(raw) for p in _ID_FORMS[:4]) else 0, "before": 1 if labelled else -1, "after": 1 if re.match(r"^[)\",.; ]|^$", after) else -1, "line": 0, "prose": 0, "trap": -1 if odd and not labelled else 0}
 
