@@ -8,8 +8,8 @@
    and vote as labelers too.
 3. Expectation maximisation over the counts of vote patterns (at most 3 ** 11 a kind) estimates each labeler's
    reliability and the probability of each pattern (Dawid and Skene 1979).
-4. A logistic span classifier is fitted to these probabilities on at most TRAIN_ROWS candidates, and scores all
-   candidates as a column expression.  Of spans that overlap the best is kept.
+4. A logistic span classifier is fitted to these probabilities, over the patterns of all candidates, and scores each
+   candidate as a column expression.  Of spans that overlap the best is kept.
 
 Traps (robots' mailboxes, remotes, words of an address) are a labeler like the others, but with a reliability that is
 known; the classifier learns its weight with those of the others and decides.
@@ -30,8 +30,6 @@ from pyspark.sql import types as T
 from starmill.llm.pii_spans import KINDS, LABELERS, candidates
 from starmill.session import written
 
-#: Most candidates the span classifier is fitted on, over all kinds; they are drawn by hash and go to the driver.
-TRAIN_ROWS = 20_000
 #: Gazetteers of surely true words: the first key, the last key, the end of the last key.
 SLOTS = ("first", "last", "ending")
 #: Labelers by the corpus: those gazetteers, whether a name's words are common words, how many partners its words have.
@@ -154,30 +152,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0
 def train(voted: DataFrame) -> dict[str, np.ndarray]:
     """Weights of the span classifier of each kind.
 
-    The labelers' reliabilities come from the counts of all candidates; the classifier is fitted on a sample of at
-    most TRAIN_ROWS of them, drawn by hash, whose labels are the probabilities of their vote patterns.  A kind that
-    is rare in the sample is fitted on its patterns alone.
+    It is fitted on the vote patterns of all candidates with the means of their span features, weighted by the root of
+    their numbers, so that a rare pattern teaches something too.  Labels are the patterns' probabilities.
     """
     # at most 3 ** len(VOTERS) patterns a kind, whatever the corpus
-    counted = voted.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    every = max(1, -(-int(counted.n.sum()) // (TRAIN_ROWS * 9 // 10)))
-    drawn = voted.where(F.pmod(F.xxhash64("doc", "a", "b", "kind"), F.lit(every)) == 0).limit(TRAIN_ROWS)
-    sample = drawn.select("kind", "votes", *[F.expr(e).cast("double").alias(f"f{k}") for k, e in enumerate(SPAN_FEATURES)]).toPandas()
+    means = [F.avg(F.expr(e).cast("double")).alias(f"f{k}") for k, e in enumerate(SPAN_FEATURES)]
+    counted = voted.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n"), *means).toPandas()
     models = {}
     for kind in KINDS:
         own = counted[counted.kind == kind]
         if not len(own):
             continue
         patterns, counts = np.array(own.votes.tolist()).reshape(len(own), len(VOTERS)), own.n.to_numpy(float)
-        truth = reliabilities(patterns, counts)
-        rows = sample[sample.kind == kind]
-        if len(rows) >= 50:
-            label = dict(zip(map(tuple, patterns.tolist()), truth, strict=True))
-            votes = np.array(rows.votes.tolist()).reshape(len(rows), len(VOTERS))
-            y = np.array([label[tuple(v)] for v in votes.tolist()])
-            models[kind] = fit_logistic(features(votes, rows[[f"f{k}" for k in range(len(SPAN_FEATURES))]].to_numpy(float)), y, np.ones(len(rows)), ridge=0.05)
-        else:
-            models[kind] = fit_logistic(features(patterns), truth, counts, ridge=0.05)
+        spans = own[[f"f{k}" for k in range(len(SPAN_FEATURES))]].to_numpy(float)
+        models[kind] = fit_logistic(features(patterns, spans), reliabilities(patterns, counts), np.sqrt(counts), ridge=0.05)
     return models
 
 
@@ -213,7 +201,7 @@ def find_personal(df: DataFrame, key: str, text: str, threshold: float = 0.5) ->
 
     Null and empty texts hold none.  A corpus without candidates gives no rows.
     """
-    voted = written(with_gazetteers(written(scan(df, key, text), "candidates")), "voted")  # read for counts, sample and scores
+    voted = written(with_gazetteers(written(scan(df, key, text), "candidates")), "voted")  # read for the counts and the scores
     scored = voted.withColumn("p", score(train(voted))).where(F.col("p") > threshold)
     return best_spans(scored)
 
