@@ -1,10 +1,12 @@
+import glob
 from datetime import datetime as dt
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from starmill.functions.hilbert import hilbert_np
-from starmill.operators.compaction import audit_files, compact, digests, plan_layout, unique_records
+from starmill.operators.compaction import audit_files, compact, consolidate, digests, plan_layout, unique_records
 from starmill.session import scratch_path
 
 SCHEMA = "file_no bigint, count_id bigint, Norder int, Dir bigint, Npix bigint, join_Norder int, join_Dir bigint, join_Npix bigint, num_rows bigint, counted_at timestamp"
@@ -26,10 +28,13 @@ def test_audit(spark):
         (4, 4, -1, 77, 10819, 6, 0, 55, 1999, T), (5, None, None, None, None, None, None, None, 2000, T), (6, 4, -1, 77, 10819, 6, 9, 55, 1, T), (6, 5, 1, 0, 2, 6, 0, 55, 3000, T),
     ]
     files = spark.createDataFrame([(k,) for k in range(1, 9)], "file_no bigint")
-    got = sorted(tuple(r) for r in audit_files(spark.createDataFrame(rows, SCHEMA), files, 2000).collect())
+    records = spark.createDataFrame(rows, SCHEMA)
+    moved, compared = consolidate(records, scratch_path(spark, "t"), 2)
+    assert all(r.same for r in compared.collect()) and moved.count() == 6
+    got = sorted(tuple(r) for r in audit_files(records, files, moved, 2000).collect())
     assert got == [(2, "repeat"), (3, "misfiled"), (3, "small"), (4, "small"), (6, "misfiled"), (7, "empty"), (8, "empty")]
     empty = spark.createDataFrame([], SCHEMA)
-    assert audit_files(empty, files.where("false"), 2000).collect() == []
+    assert audit_files(empty, files.where("false"), consolidate(empty, scratch_path(spark, "t"), 2)[0], 2000).collect() == []
 
 
 def test_layout_is_even_whole_and_compared(spark):
@@ -40,10 +45,17 @@ def test_layout_is_even_whole_and_compared(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     first = unique_records(df)
     assert first.count() == 5000 and first.where("Dir <> floor(Npix / 10000) * 10000").count() == 0
-    sizes = plan_layout(df, 300).groupBy("Dir", "target_file").count().collect()
-    assert sum(r["count"] for r in sizes) == 5000 and max(r["count"] for r in sizes) <= 420
-    report = compact(df, scratch_path(spark, "t"), 300).collect()
-    assert all(r.same for r in report) and sum(r.n_rows for r in report) == 5000
+    sizes = plan_layout(df, 200).groupBy("Dir", "target_file").count().collect()
+    assert sum(r["count"] for r in sizes) == 5000 and max(r["count"] for r in sizes) <= 270 and min(r["count"] for r in sizes) >= 130
+    path = scratch_path(spark, "t")
+    report = compact(df, path, 200).collect()
+    assert all(r.same and r.in_order for r in report) and sum(r.n_rows for r in report) == 5000
+    assert all(r.n_files == -(-r.n_rows // 200) for r in report)
+    # one file a (directory, number), its rows in the order of the code
+    names = glob.glob(f"{path}/**/*.parquet", recursive=True)
+    assert len(names) == sum(r.n_files for r in report)
+    codes = [pq.read_table(n, columns=["code"], partitioning=None)["code"].to_pylist() for n in names]
+    assert all(c == sorted(c) for c in codes)
     assert compact(df.where("false"), scratch_path(spark, "t"), 300).collect() == []
 
 
