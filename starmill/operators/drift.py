@@ -83,13 +83,38 @@ def drift_report(files: DataFrame, rows: DataFrame, aliases: DataFrame, fields:
     return named.unionByName(removed).unionByName(retyped)
 
 
+def appearing_alternatives(files: DataFrame, rows: DataFrame, aliases: DataFrame, fields: dict[str, str], delivered: str = "delivered_at") -> DataFrame:
+    """(field_name, alternative, declared, first_file, first_delivered, n_files, n_values): every alternative that appears.
+
+    In order of delivery (then of number) each alternative of each field, and of each added name, is reported with the
+    file it first appears in; declared: it is the field's own type.  Files without a delivery come last.  Values of
+    files or names that no header tells of are left out.
+    """
+    paths = header_paths(files, aliases, fields).select("file_no", "name", "field_name")
+    counts = F.array(*[F.struct(F.lit(a).alias("alternative"), F.col(f"n_{k}").alias("n")) for k, a in enumerate(ALTERNATIVES)])
+    seen = paths.join(value_unions(rows, fields), ["file_no", "name"]).select("file_no", "field_name", F.explode(counts).alias("c")).select("file_no", "field_name", "c.*").where("n > 0")
+    seen = seen.groupBy("field_name", "alternative", "file_no").agg(F.sum("n").alias("n"))
+    times = files.where("file_no is not null").groupBy("file_no").agg(F.min(delivered).alias("at"))
+    first = F.min(F.struct(F.col("at").isNull().alias("unknown"), "at", "file_no")).alias("first")
+    found = seen.join(times, "file_no").groupBy("field_name", "alternative").agg(first, F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_values"))
+    declared = F.create_map(*[F.lit(x) for pair in fields.items() for x in pair])[F.col("field_name")]
+    return found.select("field_name", "alternative", F.coalesce(declared == F.col("alternative"), F.lit(False)).alias("declared"), F.col("first.file_no").alias("first_file"), F.col("first.at").alias("first_delivered"), "n_files", "n_values")
+
+
+def branches(name: str, kind: str) -> list[tuple[str, str]]:
+    """(column, alternative) of the typed branches beside a field: the alternatives wider than its type."""
+    return [(f"{name}_{a}", a) for a in ALTERNATIVES[ALTERNATIVES.index(kind) + 1 :]]
+
+
 def fused_table(target: DataFrame, files: DataFrame, rows: DataFrame, aliases: DataFrame, fields: dict[str, str]) -> DataFrame:
     """All rows of ``target`` and of ``rows`` under the fields' own names and types.
 
-    Columns: source, file_no, row_no, then each field in its declared type, then for each field that is not a
-    string ``<field>_text``: the trimmed value where it is of a wider alternative (the typed branch), else null.
-    Integers are doubles as well; no value is null.  A value under a renamed path comes to its field; of several
-    names of one field the first that has a value counts.  Repeated rows stay, as they are in the input.
+    Columns: source, file_no, row_no, then each field in its declared type, its canonical form, and a branch for each
+    wider alternative, of that alternative's own type: a value is in the narrowest of them that holds it, a bigint field
+    has ``<field>_double`` and ``<field>_string``, a double field ``<field>_string``.  Narrower values are converted to
+    the canonical form; integers are doubles as well, all are strings; no value is null.  A value under a renamed path
+    comes to its field; of several names of one field the first that has a value counts.  Repeated rows stay, as they are
+    in the input.  Paths are the names of the header; nested JSON in ``extra`` is a string.
     """
     paths = header_paths(files, aliases, fields).where("role = 'renamed'").groupBy("file_no").agg(F.array_sort(F.collect_list(F.struct("field_name", "name"))).alias("renames"))
     t = rows.select("file_no", "row_no", *fields, "extra").join(paths, "file_no", "left").withColumn("loose", F.from_json("extra", "map<string,string>"))
@@ -99,11 +124,14 @@ def fused_table(target: DataFrame, files: DataFrame, rows: DataFrame, aliases: D
         held = F.filter(seen, lambda v: is_value(trimmed(v)))
         t = t.withColumn(f"__{name}", trimmed(F.coalesce(F.col(name).cast("string"), F.get(held, F.lit(0)))))
         value = F.when(is_value(F.col(f"__{name}")), F.col(f"__{name}"))
-        typed = {"bigint": bigint_of, "double": double_of}.get(kind, lambda c: c)(value)
-        out.append(typed.alias(name))
-        if kind != "string":
-            out.append(F.when(typed.isNull(), value).alias(f"{name}_text"))
-    order = ["source", "file_no", "row_no", *fields, *[f"{n}_text" for n, kind in fields.items() if kind != "string"]]
-    moved = t.select(F.lit("drifting").alias("source"), "file_no", "row_no", *out).select(*order)
-    kept = target.select(F.lit("target").alias("source"), F.lit(None).cast("bigint").alias("file_no"), F.lit(None).cast("bigint").alias("row_no"), *[F.col(n).cast(kind).alias(n) for n, kind in fields.items()], *[F.lit(None).cast("string").alias(f"{n}_text") for n, kind in fields.items() if kind != "string"])
-    return kept.unionByName(moved)
+        as_kind = {"bigint": bigint_of, "double": double_of, "string": lambda c: c}
+        held = as_kind[kind](value)
+        out.append(held.alias(name))
+        for column, alternative in branches(name, kind):
+            typed = F.when(held.isNull(), as_kind[alternative](value))
+            out.append(typed.alias(column))
+            held = F.coalesce(held.cast("string"), typed.cast("string"))
+    own = ["source", "file_no", "row_no", *[c for name, kind in fields.items() for c in (name, *(b for b, _ in branches(name, kind)))]]
+    moved = t.select(F.lit("drifting").alias("source"), "file_no", "row_no", *out).select(*own)
+    kept = target.select(F.lit("target").alias("source"), *[F.lit(None).cast("bigint").alias(c) for c in ("file_no", "row_no")], *[F.col(n).cast(kind).alias(n) for n, kind in fields.items()], *[F.lit(None).cast(a).alias(b) for n, kind in fields.items() for b, a in branches(n, kind)])
+    return kept.select(*own).unionByName(moved)

@@ -1,4 +1,4 @@
-from starmill.operators.drift import drift_report, fused_table
+from starmill.operators.drift import appearing_alternatives, drift_report, fused_table
 
 FIELDS = {"id": "bigint", "ra": "double", "comment": "string", "code": "bigint"}
 
@@ -32,7 +32,20 @@ def test_fused_table_keeps_every_row_and_value(spark):
     t = fused_table(target, files, rows, aliases, FIELDS)
     out = {(r.file_no, r.row_no): r for r in t.where("source = 'drifting'").collect()}
     assert t.count() == 2 + 7
-    assert out[2, 1].comment == "hello" and out[2, 1].ra is None and out[2, 1].ra_text == "00:12" and out[2, 1].code == 3
-    assert out[2, 2].comment is None and out[2, 2].id is None and out[2, 2].id_text == "99999999999999999999" and out[2, 2].ra == 1000.0
-    assert out[1, 2].id == 2 and out[1, 2].code is None and out[1, 2].code_text is None
+    assert out[2, 1].comment == "hello" and out[2, 1].ra is None and out[2, 1].ra_string == "00:12" and out[2, 1].code == 3
+    assert out[2, 2].comment is None and out[2, 2].id is None and out[2, 2].id_double == 99999999999999999999.0 and out[2, 2].id_string is None and out[2, 2].ra == 1000.0
+    assert out[1, 2].id == 2 and out[1, 2].code is None and out[1, 2].code_double is None and out[1, 2].code_string is None
+    assert out[5, 1].code is None and out[5, 1].code_double == 1.5 and out[2, 2].code_string == "x1" and out[2, 2].code_double is None
+    assert t.columns == ["source", "file_no", "row_no", "id", "id_double", "id_string", "ra", "ra_string", "comment", "code", "code_double", "code_string"]
     assert drift_report(files.where("false"), rows.where("false"), aliases.where("false"), FIELDS).collect() == []
+
+
+def test_appearing_alternatives_by_delivery(spark):
+    files, aliases, rows = tables(spark)
+    days = {1: 5, 2: 3, 3: None, 5: 4}
+    files = files.join(spark.createDataFrame(list(days.items()), "file_no bigint, at int"), "file_no", "left").selectExpr("file_no", "header", "make_date(2024, 1, at) AS delivered_at")
+    got = {(r.field_name, r.alternative): (r.declared, r.first_file, r.n_files, r.n_values) for r in appearing_alternatives(files, rows, aliases, FIELDS).collect()}
+    assert got == {
+        ("id", "bigint"): (True, 2, 4, 5), ("id", "double"): (False, 2, 1, 1), ("ra", "bigint"): (False, 5, 2, 2), ("ra", "double"): (True, 2, 2, 2), ("ra", "string"): (False, 2, 1, 1),
+        ("comment", "string"): (True, 2, 3, 3), ("code", "bigint"): (True, 2, 3, 3), ("code", "double"): (False, 5, 1, 1), ("code", "string"): (False, 2, 1, 1), ("CODE", "string"): (False, 3, 1, 1), ("extra1", "string"): (False, 3, 1, 1), ("#id", "string"): (False, 5, 1, 1),
+    }
