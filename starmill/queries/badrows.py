@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmill.operators.badrows import parse_gaia, parse_pipe
+from starmill.functions.values import bigint_of
+from starmill.operators.badrows import parse_gaia, parse_pipe, tokenize_lines
 from starmill.queries import table
+from starmill.session import scratch_path
+from starmill.sources.raw import raw_records
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +26,24 @@ def p5_pipe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_pipe(table(spark, sf_dir, "pipe_delimited")).where("reason is null").drop("reason", "broken_at")
 
 
-QUERIES = {"p5_found": p5_found, "p5_gaia_rows": p5_gaia_rows, "p5_pipe_rows": p5_pipe_rows}
+def p5_raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with line ends in their quoted fields, written as raw files and read again in chunks of 64 kB.
+
+    The states of the chunks are composed over the files; the result tells each record's fields apart.
+    """
+    path = scratch_path(spark, "raw")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    soap = table(spark, sf_dir, "soap_files").where("path IS NOT NULL AND file_no IS NOT NULL")
+    note = F.concat(F.col("path"), F.lit(' says "'), F.col("file_no").cast("string"), F.lit('",\n\n and more\n'))
+    soap.select(F.concat_ws(",", F.col("file_no").cast("string"), quoted(note), F.coalesce(F.col("n_bytes").cast("string"), F.lit(""))).alias("value")).write.text(path)
+    names = sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").toLocalIterator())
+    records = raw_records(spark, names, chunk_bytes=1 << 16)
+    t = tokenize_lines(records, "record", ",")
+    f = lambda k: F.get("fields", F.lit(k))
+    return t.select(bigint_of(f(0)).alias("file_no"), f(1).alias("note"), bigint_of(f(2)).alias("n_bytes"), F.size("fields").alias("n_fields"), F.col("broken_at").isNull().alias("sound"))
+
+
+QUERIES = {"p5_raw_records": p5_raw_records, "p5_found": p5_found, "p5_gaia_rows": p5_gaia_rows, "p5_pipe_rows": p5_pipe_rows}
 _INT = r"'[+-]?[0-9]+'"
 _DBL = r"'[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?'"
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -46,4 +66,5 @@ SQL = {
     "p5_found": f"SELECT 'gaia_minimum' AS table_name, file_no, line_no, reason FROM ({_GAIA}) WHERE reason IS NOT NULL UNION ALL SELECT 'pipe_delimited', file_no, line_no, reason FROM ({_PIPE}) WHERE reason IS NOT NULL",
     "p5_gaia_rows": f"SELECT file_no, line_no, CAST(f[1] AS BIGINT) AS solution_id, f[2] AS designation, CAST(f[3] AS DOUBLE) AS ra, CAST(f[4] AS DOUBLE) AS dec, CAST(nullif(f[5], '') AS DOUBLE) AS phot_g_mean_flux, CAST(nullif(f[6], '') AS DOUBLE) AS phot_bp_mean_flux, CAST(nullif(f[7], '') AS DOUBLE) AS phot_rp_mean_flux, f[8] AS libname_gspphot FROM ({_GAIA}) WHERE reason IS NULL",
     "p5_pipe_rows": f"SELECT file_no, line_no, c0 AS letters, CAST(c1 AS BIGINT) AS ints, CAST(NULL AS VARCHAR) AS empty, CAST(c3 AS DOUBLE) AS numeric FROM ({_PIPE}) WHERE reason IS NULL",
+    "p5_raw_records": """SELECT file_no, path || ' says "' || file_no || '",' || chr(10) || chr(10) || ' and more' || chr(10) AS note, n_bytes, 3 AS n_fields, TRUE AS sound FROM soap_files WHERE path IS NOT NULL AND file_no IS NOT NULL""",
 }

@@ -30,7 +30,8 @@ def _classes(sep: str) -> np.ndarray:
 def raw_records(spark: SparkSession, paths: list[str], sep: str = ",", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(path, at, record): each record without its line end, and the byte offset where it begins.
 
-    A broken record ends at its line end; a quote left open takes all to the end of the file into its record.
+    A broken record ends at its line end; a quote left open takes all to the end of the file into its record, which a
+    task has to hold: it is one record by the rules of quoting, however long.
     Empty files have no record; a last line end starts none.
     """
     table, cls = tk.stream_table(), _classes(sep)
@@ -89,15 +90,15 @@ def _chunk_records(path: str, a: int, z: int, state: int, size: int, table: np.n
         tail_end = None
         if len(cuts) and cuts[-1] >= starts[-1]:
             tail_end = int(cuts[-1])
-        at = z
-        step = 1 << 16
+        at, step, blocks = z, 1 << 16, [data]
         while tail_end is None and at < size:
             block = f.read_at(min(step, size - at), at)
-            labels, end_next = tk.label(table, cls[np.frombuffer(block, dtype=np.uint8)], end)
+            labels, end = tk.label(table, cls[np.frombuffer(block, dtype=np.uint8)], end)
             hit = np.flatnonzero((np.frombuffer(block, dtype=np.uint8) == 10) & (labels != tk.QUOTED))
             if len(hit):
-                tail_end = len(data) + int(hit[0])
-            data += block
-            end, at, step = end_next, at + len(block), min(step * 2, more)
+                tail_end = at - a + int(hit[0])
+            blocks.append(block)
+            at, step = at + len(block), min(step * 2, more)
+        data = b"".join(blocks)
         ends.append(len(data) if tail_end is None else tail_end)
     return pd.DataFrame({"path": path, "at": [a + s for s in starts], "record": [data[s:e].decode("utf-8", "replace") for s, e in zip(starts, ends, strict=True)]})
