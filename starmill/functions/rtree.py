@@ -26,12 +26,16 @@ class RTree:
             starts = np.arange(0, len(low), FANOUT)
             self.levels.append(np.column_stack([np.minimum.reduceat(low[:, :2], starts), np.maximum.reduceat(low[:, 2:], starts)]))
 
-    def probe(self, boxes: np.ndarray, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(probe numbers, box numbers) of all intersections, for ``block`` probes at a time."""
+    def probe(self, boxes: np.ndarray, aim: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(probe numbers, box numbers) of all intersections, block by block.
+
+        As many probes make a block as, by the hits of the block before, find about ``aim`` boxes.
+        """
         boxes = np.asarray(boxes, dtype=float).reshape(-1, 4)
         if not len(self.order):
             return
-        for at in range(0, len(boxes), block):
+        at, block = 0, 64
+        while at < len(boxes):
             q = boxes[at : at + block]
             top = self.levels[-1]
             who, node = np.repeat(np.arange(len(q)), len(top)), np.tile(np.arange(len(top)), len(q))
@@ -45,3 +49,5 @@ class RTree:
                     node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                     who, node = who[node < below], node[node < below]
             yield who + at, self.order[node]
+            at += len(q)
+            block = int(min(4096, max(1, aim // max(1, len(who) // len(q))), 8 * block))

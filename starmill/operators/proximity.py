@@ -138,7 +138,8 @@ def near(points: DataFrame, radius_arcsec: float, regions: DataFrame | None = No
     regions: one column of nested cells of ``region_order``; repeated, null and impossible cells count not.
     Returns (kind string, key_a bigint, key_b bigint): ``pair`` with key_a < key_b at most
     ``radius_arcsec`` apart, ``margin`` with the point's key and the cell that contains it.
-    Empty inputs give no rows; points at one place are all paired with each other.
+    Empty inputs give no rows; points at one place are all paired with each other, so n points within two radii give
+    some n ** 2 rows, block by block, from the tasks of their leaves.
 
     sample_limit bounds the rows taken to the driver to place the cuts; leaf_points is the aim of points a leaf.
     """
@@ -149,7 +150,8 @@ def near(points: DataFrame, radius_arcsec: float, regions: DataFrame | None = No
     aim = int(min(leaf_points, max(512, total / (4 * spark.sparkContext.defaultParallelism))))
     buckets = max(1, math.ceil(total / sample_limit))
     sample = points.where(F.pmod(F.xxhash64("key"), F.lit(buckets)) == 0).select("ra", "dec").toPandas()
-    deepest = max(0, min(MAX_DEPTH, int(math.log2(ROOT / max(16 * radius, ROOT / (1 << MAX_DEPTH))))))
+    # a leaf is at least two radii wide, so a point's box reaches into three others at most
+    deepest = max(0, min(MAX_DEPTH, int(math.log2(ROOT / max(2 * radius, ROOT / (1 << MAX_DEPTH))))))
     tree = QuadTree.build(sample.ra.to_numpy(float), sample.dec.to_numpy(float), max(16, aim // buckets), deepest)
     starts = tree.starts
 
@@ -178,8 +180,9 @@ def near(points: DataFrame, radius_arcsec: float, regions: DataFrame | None = No
                 hit = np.unique(np.column_stack([who[i], leaf]), axis=0)
                 yield pd.DataFrame({"leaf": hit[:, 1], "kind": np.int8(2), "key": cell[hit[:, 0]], "ra": 0.0, "dec": 0.0})
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(probe_leaf(pdf, radius, region_order)), ignore_index=True)
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the points of a leaf are held, what they give is handed on block by block
+        yield from probe_leaf(pd.concat(list(batches), ignore_index=True), radius, region_order)
 
     schema = "leaf bigint, kind tinyint, key bigint, ra double, dec double"
     placed = points.mapInPandas(place, schema)

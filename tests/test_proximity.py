@@ -78,3 +78,17 @@ def test_dirty_rows_and_empty_tables(spark):
 def test_search_boxes_at_the_pole():
     who, box = search_boxes(np.array([5.0, 5.0]), np.array([90.0, 0.0]), 0.1)
     assert (box[who == 0][0, [0, 2]] == [0, 360]).all() and len(who) == 2
+
+
+def test_crowded_places_come_block_by_block(spark):
+    """Blocks of probes shrink where each finds many; a dense leaf splits down to two radii."""
+    tree = RTree(np.tile([[1.0, 1.0, 1.0, 1.0]], (3000, 1)))
+    sizes = [len(i) for i, _ in tree.probe(np.tile([[1.0, 1.0, 1.0, 1.0]], (500, 1)), aim=30_000)]
+    assert sum(sizes) == 3000 * 500 and max(sizes[1:]) <= 30_000
+    rng = np.random.default_rng(8)
+    n = 1500
+    ra, dec = 10 + rng.uniform(0, 0.5, n), rng.uniform(0, 0.5, n)
+    df = spark.createDataFrame(pd.DataFrame({"key": np.arange(n), "ra": ra, "dec": dec}))
+    rows = near(df, 120.0, leaf_points=20).collect()
+    pairs = [(r.key_a, r.key_b) for r in rows]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute(ra, dec, np.arange(n), 120.0 / 3600)
