@@ -137,7 +137,8 @@ def place_rows(df: DataFrame, partitions: list[tuple[int, int]], mapping_order:
         down = 2 * (mapping_order - orders[k].astype(np.int64))
         return pd.Series(np.where((c >> down) == (starts[k] >> down), orders[k], -1).astype(np.int32))
 
-    found = df.drop("Norder", "Dir", "Npix").withColumn("Norder", order_of(F.col(cell))).where("Norder >= 0")
+    # called non-deterministic, so that no filter on it is pushed through the projections of the cell and inlined
+    found = df.drop("Norder", "Dir", "Npix").withColumn("Norder", order_of.asNondeterministic()(F.col(cell))).where("Norder >= 0")
     pixel = F.expr(f"shiftright(`{cell}`, 2 * ({mapping_order} - Norder))")
     return found.withColumns({"Dir": dir_of(pixel), "Npix": pixel})
 
