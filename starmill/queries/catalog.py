@@ -103,11 +103,6 @@ def catalog_rows_with_partition_columns(spark, d):
     return _objects_placed(spark, d).select("id", "Norder", "Dir", "Npix")
 
 
-def leaf_sort_order(spark, d):
-    w = W.partitionBy("Norder", "Npix").orderBy("cell", "id")
-    return _objects_placed(spark, d).select("id", "Norder", "Npix", F.row_number().over(w).alias("position"))
-
-
 def row_count_reconciliation(spark, d):
     a = _object_alignment(spark, d).select(F.col("cell").alias("c"), "Npix")
     joined = _object_cells(spark, d).join(a, F.col("cell") == F.col("c"), "left")
@@ -140,8 +135,26 @@ def association_leaf(spark, d):
     return assoc.association_leaf(_objects_placed(spark, d), _sources_placed(spark, d), "id", "id")
 
 
+def _sound_objects(spark, d):
+    """Objects with a row whose errors are both within 0..1000; the sources of the others have no object."""
+    good = table(spark, d, "sky_catalog").where("ra_error BETWEEN 0 AND 1000 AND dec_error BETWEEN 0 AND 1000").select("id").distinct()
+    return _objects_placed(spark, d).join(good, "id", "left_semi")
+
+
 def association_unmatched(spark, d):
-    return assoc.unmatched_sources(_objects_placed(spark, d), _sources_placed(spark, d), "id", "id")
+    return assoc.unmatched_sources(_sound_objects(spark, d), _sources_placed(spark, d), "id", "id")
+
+
+def association_reconciled(spark, d):
+    """Of each source partition its sources, those matched and those unmatched within the candidate pairs: they add up."""
+    objects, sources = written(_sound_objects(spark, d), "objects"), written(_sources_placed(spark, d), "sources")
+    pairs = written(assoc.candidate_pairs(objects.select("Norder", "Npix").distinct(), sources.select("Norder", "Npix").distinct()), "pairs")
+    key = ["join_Norder", "join_Npix"]
+    every = sources.groupBy(F.col("Norder").alias("join_Norder"), F.col("Npix").alias("join_Npix")).agg(F.count(F.lit(1)).alias("n_sources"))
+    matched = assoc.association_counts(objects, sources, "id", "id", pairs).groupBy(*key).agg(F.sum("num_rows").alias("n_matched"))
+    lost = assoc.unmatched_sources(objects, sources, "id", "id", pairs).select(*key, F.col("num_rows").alias("n_unmatched"))
+    out = every.join(matched, key, "left").join(lost, key, "left").fillna(0, ["n_matched", "n_unmatched"])
+    return out.withColumn("same", F.col("n_sources") == F.col("n_matched") + F.col("n_unmatched"))
 
 
 def association_partition_totals(spark, d):
@@ -226,14 +239,15 @@ _OBJ = f"pos AS MATERIALIZED ({_POS}), oc AS MATERIALIZED ({_CELLS}), {_align_sq
 _SRC = f"sc AS MATERIALIZED (SELECT id, band, _healpix_29 >> {2 * (29 - ORDER)} AS cell FROM spatial_index WHERE _healpix_29 IS NOT NULL), {_align_sql('s', 'sc', 10 * THRESHOLD)}"
 _DIR = "CAST(floor({} / 10000) * 10000 AS BIGINT)"
 _COUNTS = f"SELECT o.Norder, o.Dir, o.Npix, s.Norder AS join_Norder, s.Dir AS join_Dir, s.Npix AS join_Npix, count(*) AS num_rows FROM o_rows o JOIN s_rows s ON o.id = s.id GROUP BY ALL"
+_SOUND = "SELECT DISTINCT id FROM sky_catalog WHERE id IS NOT NULL AND ra_error BETWEEN 0 AND 1000 AND dec_error BETWEEN 0 AND 1000"
 _LIVE = "(SELECT DISTINCT Norder, Npix FROM partition_info WHERE catalog_name = '{}')"
 _OVERLAP = "a.Npix << (2 * (12 - a.Norder)) < (b.Npix + 1) << (2 * (12 - b.Norder)) AND b.Npix << (2 * (12 - b.Norder)) < (a.Npix + 1) << (2 * (12 - a.Norder))"
 QUERIES = {
     f.__name__: f
     for f in (
         cell_histogram, cell_histogram_by_index, spatial_index_ancestor, pixel_descendant_range, adaptive_alignment, adaptive_alignment_drop_siblings, constant_order_partitions, aligned_partition_counts,
-        sky_fraction, catalog_rows_with_partition_columns, leaf_sort_order, row_count_reconciliation, index_distinct, index_range_buckets, association_counts, association_near_counts, association_leaf,
-        association_unmatched, association_partition_totals, association_combined_counts, partition_overlap_pairs, pixel_set_difference, sky_ordered_partitions, margin_coarse, margin_pairs, margin_fine, pixel_list_filter,
+        sky_fraction, catalog_rows_with_partition_columns, row_count_reconciliation, index_distinct, index_range_buckets, association_counts, association_near_counts, association_leaf,
+        association_unmatched, association_reconciled, association_partition_totals, association_combined_counts, partition_overlap_pairs, pixel_set_difference, sky_ordered_partitions, margin_coarse, margin_pairs, margin_fine, pixel_list_filter,
         in_pixel_rows, band_array_explode, path_derived_column, union_shards, column_min_max,
     )
 }
@@ -248,13 +262,13 @@ SQL = {
     "aligned_partition_counts": f"WITH {_OBJ} SELECT Norder, Dir, Npix, count(*) AS n_rows FROM o_rows GROUP BY ALL",
     "sky_fraction": f"WITH {_OBJ} SELECT round(sum(1.0 / (12 * pow(4, Norder))), 5) AS moc_sky_fraction FROM o_parts",
     "catalog_rows_with_partition_columns": f"WITH {_OBJ} SELECT id, Norder, Dir, Npix FROM o_rows",
-    "leaf_sort_order": f"WITH {_OBJ} SELECT id, Norder, Npix, row_number() OVER (PARTITION BY Norder, Npix ORDER BY cell, id) AS position FROM o_rows",
     "row_count_reconciliation": f"WITH {_OBJ} SELECT (SELECT count(*) FROM pos) AS expected, (SELECT count(*) FROM o_rows) AS placed, (SELECT count(*) FROM pos) = (SELECT count(*) FROM o_rows) AS same",
     "index_distinct": f"WITH {_SRC} SELECT DISTINCT band, Norder, Dir, Npix, id FROM s_rows",
     "index_range_buckets": f"WITH {_SRC} SELECT (id >= 2000)::INT + (id >= 4000)::INT + (id >= 8000)::INT + (id >= 16000)::INT AS bucket, count(*) AS n_rows, min(id) AS lo, max(id) AS hi FROM (SELECT DISTINCT Norder, Npix, id FROM s_rows) GROUP BY 1",
     "association_counts": f"WITH {_OBJ}, {_SRC} {_COUNTS}",
     "association_leaf": f"WITH {_OBJ}, {_SRC} SELECT DISTINCT o.id AS object_id, s.id AS source_id, o.Norder, o.Dir, o.Npix, s.Norder AS join_Norder, s.Dir AS join_Dir, s.Npix AS join_Npix FROM o_rows o JOIN s_rows s ON o.id = s.id",
-    "association_unmatched": f"WITH {_OBJ}, {_SRC} SELECT Norder AS join_Norder, Dir AS join_Dir, Npix AS join_Npix, count(*) AS num_rows FROM s_rows WHERE id NOT IN (SELECT id FROM o_rows) GROUP BY ALL",
+    "association_unmatched": f"WITH {_OBJ}, {_SRC} SELECT Norder AS join_Norder, Dir AS join_Dir, Npix AS join_Npix, count(*) AS num_rows FROM s_rows WHERE id IS NULL OR id NOT IN (SELECT o_rows.id FROM o_rows JOIN ({_SOUND}) g ON g.id = o_rows.id) GROUP BY ALL",
+    "association_reconciled": f"WITH {_OBJ}, {_SRC}, g AS MATERIALIZED (SELECT o_rows.id FROM o_rows JOIN ({_SOUND}) t ON t.id = o_rows.id) SELECT Norder AS join_Norder, Npix AS join_Npix, count(*) AS n_sources, count(g.id) AS n_matched, count(*) - count(g.id) AS n_unmatched, TRUE AS same FROM s_rows LEFT JOIN g ON g.id = s_rows.id GROUP BY ALL",
     "association_partition_totals": f"WITH {_OBJ}, {_SRC} SELECT Norder, Dir, Npix, CAST(sum(num_rows) AS BIGINT) AS num_rows FROM ({_COUNTS}) GROUP BY ALL",
     "association_combined_counts": f"SELECT Norder, Dir, Npix, CAST(sum(num_rows) AS BIGINT) AS num_rows FROM (SELECT DISTINCT count_id, Norder, {_DIR.format('Npix')} AS Dir, Npix, num_rows FROM soap_2_177 WHERE Norder <> -1) WHERE num_rows > 0 GROUP BY ALL",
     "partition_overlap_pairs": f"SELECT a.Norder, a.Npix, b.Norder AS join_Norder, b.Npix AS join_Npix FROM {_LIVE.format('sky_object')} a JOIN {_LIVE.format('sky_source')} b ON {_OVERLAP}",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _shipped: set[str] = set()
+_roots: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -31,21 +32,31 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset and all runs on this
+    machine: a cluster without it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="starmill-")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of this application's tables in the shared folder; to be deleted when it has ended."""
-    return f"{shared_dir(spark).rstrip('/')}/starmill-{spark.sparkContext.applicationId}"
+    """The folder of this application's tables in the shared folder; it is deleted when the application ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/starmill-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -61,7 +72,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete what this application wrote to the shared folder; results that still read it break."""
+    """Delete now what this application wrote to the shared folder; results that still read it break."""
     jvm, root = spark._jvm, scratch_root(spark)
     path = jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from starmill.sources.layout import filesystem
 from starmill.sources.readers import InputReader, check_file
 
 BLOCK, CARD = 2880, 80
@@ -54,7 +55,8 @@ class TableInfo:
 
 def table_info(path: str) -> TableInfo:
     check_file(path)
-    with open(path, "rb") as f:
+    fs, p = filesystem(path)
+    with fs.open_input_file(p) as f:
         while (h := _header(f)) is not None:
             size = abs(int(h.get("BITPIX", 8))) // 8 * math.prod(int(h.get(f"NAXIS{k}", 0)) for k in range(1, int(h.get("NAXIS", 0)) + 1)) if h.get("NAXIS") else 0
             size += int(h.get("PCOUNT", 0) or 0)
@@ -77,7 +79,8 @@ class FitsReader(InputReader):
     """The first binary table of each file; one task reads a slice of rows.
 
     column_names keeps, skip_column_names drops; read_columns goes before either. Text is decoded and stripped;
-    columns of several numbers become arrays. Files are read through the file system by path.
+    columns of several numbers become arrays. Columns are those of any file, null where a file lacks them; a column
+    of two types is an error. Paths may be of any file system.
     """
 
     column_names: list[str] | None = None
@@ -88,9 +91,12 @@ class FitsReader(InputReader):
         if self.column_names and self.skip_column_names:
             raise ValueError("column_names and skip_column_names exclude each other")
         infos = {p: table_info(p) for p in paths}
-        first = infos[paths[0]]
-        names = read_columns or self.column_names or [c[0] for c in first.columns if c[0] not in (self.skip_column_names or [])]
-        kinds = {c[0]: (c[3], c[2]) for c in first.columns}
+        kinds: dict[str, tuple[str, int]] = {}
+        for p, info in infos.items():
+            for c in info.columns:
+                if kinds.setdefault(c[0], (c[3], c[2])) != (c[3], c[2]):
+                    raise ValueError(f"column {c[0]} of {p} is of another type than in an earlier file")
+        names = read_columns or self.column_names or [c for c in kinds if c not in (self.skip_column_names or [])]
         schema = T.StructType.fromDDL(", ".join(f"`{n}` " + (kinds[n][0] if kinds[n][1] == 1 else f"array<{kinds[n][0]}>") for n in names))
         slices = [(p, a, min(a + self.rows_a_task, i.rows)) for p, i in infos.items() for a in range(0, i.rows, self.rows_a_task)]
 
@@ -99,7 +105,9 @@ class FitsReader(InputReader):
                 for path, a, z in zip(b.path, b.a, b.z, strict=True):
                     info = infos[path]
                     dtype = np.dtype([(c[0], c[1]) if c[2] == 1 else (c[0], c[1], (c[2],)) for c in info.columns])
-                    rows = np.memmap(path, dtype=dtype, mode="r", offset=info.start, shape=(info.rows,))[a:z]
+                    fs, q = filesystem(path)
+                    with fs.open_input_file(q) as f:
+                        rows = np.frombuffer(f.read_at(int(z - a) * info.row_bytes, info.start + int(a) * info.row_bytes), dtype=dtype)
                     out = {}
                     for name, kind, repeat, sql, null in info.columns:
                         if name not in names:
@@ -114,7 +122,8 @@ class FitsReader(InputReader):
                             out[name] = pd.Series(v) if repeat == 1 else pd.Series(list(v))
                             if null is not None and repeat == 1:
                                 out[name] = out[name].astype("Int64").mask(out[name] == null)
-                    yield pd.DataFrame(out)[list(names)]
+                    lacking = {n: pd.Series([None] * len(rows), dtype=object) for n in names if n not in out}
+                    yield pd.DataFrame(out | lacking)[list(names)]
 
         if not slices:
             return spark.createDataFrame([], schema)

@@ -17,11 +17,14 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starmill.sources.layout import filesystem, read_text
+
 #: Type names of side files and type maps.
 TYPE_NAMES = {
     "int64": "bigint", "Int64": "bigint", "int32": "int", "Int32": "int", "int16": "smallint", "Int16": "smallint", "int8": "tinyint", "Int8": "tinyint", "uint8": "smallint", "uint16": "int", "uint32": "bigint",
@@ -37,11 +40,11 @@ def spark_type(name: Any) -> str:
 
 
 def check_file(path: str) -> None:
-    """A single input file has to be a file."""
-    if not os.path.exists(path):
-        raise FileNotFoundError(f"File not found at path: {path}")
-    if not os.path.isfile(path):
-        raise FileNotFoundError(f"Directory found at path - requires regular file: {path}")
+    """A single input file has to be a file, in whatever file system."""
+    fs, p = filesystem(path)
+    kind = fs.get_file_info(p).type
+    if kind != pafs.FileType.File:
+        raise FileNotFoundError(f"{path} is a folder where a file is needed" if kind == pafs.FileType.Directory else f"{path} is not there")
 
 
 def read_index_file(path: str) -> list[str]:
@@ -50,10 +53,9 @@ def read_index_file(path: str) -> list[str]:
     Relative paths that do not exist are taken from the index file's folder.
     """
     check_file(path)
-    with open(path) as f:
-        names = [line.strip() for line in f if line.strip()]
+    names = [line.strip() for line in (read_text(path) or "").splitlines() if line.strip()]
     here = os.path.dirname(os.path.abspath(path))
-    return [n if os.path.isabs(n) or "://" in n or os.path.exists(n) else os.path.join(here, n) for n in names]
+    return [n if os.path.isabs(n) or "://" in n or n.startswith("file:") or os.path.exists(n) else os.path.join(here, n) for n in names]
 
 
 def find_input_paths(input_path: str | None = None, pattern: str = "**/*.*", input_file_list: list[str] | None = None) -> list[str]:
@@ -94,6 +96,13 @@ def _narrow(df: DataFrame, read_columns: list[str] | None, keep: list[str] | Non
     return df.drop(*skip) if skip else df
 
 
+def strict(c: Column, kind: T.DataType | str, name: str) -> Column:
+    """The text as a value of a type; a text that is none stops the read, with the column and the text."""
+    value = c.try_cast(kind)
+    wrong = F.concat(F.lit(f"column {name} holds a value that is no {kind if isinstance(kind, str) else kind.simpleString()}: "), c)
+    return F.when(c.isNotNull() & value.isNull(), F.raise_error(wrong).cast(kind)).otherwise(value)
+
+
 @dataclass
 class InputReader:
     """Base of readers; ``read`` gives one lazy DataFrame over all paths."""
@@ -158,7 +167,8 @@ class CsvReader(InputReader):
 
     header: True (first line of each file) or False. column_names before names of the schema file; type_map
     before types of the schema file; columns of neither are inferred once over the whole set. usecols and
-    read_columns narrow the result.
+    read_columns narrow the result.  A value that is none of its type, a row of a wrong width and a file whose header
+    differs from the first one's stop the read; options={"mode": "PERMISSIVE"} makes nulls of bad values instead.
     """
 
     sep: str = ","
@@ -173,31 +183,23 @@ class CsvReader(InputReader):
     def _paths(self, paths: list[str]) -> list[str]:
         return paths
 
-    def _header_of(self, path: str) -> list[str]:
-        import bz2
-        import csv
-        import gzip
-
-        opener = {".gz": gzip.open, ".bz2": bz2.open}.get(os.path.splitext(path)[1], open)
+    def _header_of(self, spark: SparkSession, path: str) -> list[str]:
+        """The names in the first line of a file, or of a file of a folder."""
         if path.endswith(".zip"):
-            with zipfile.ZipFile(path) as z:
-                lines = io.TextIOWrapper(z.open(z.namelist()[0]), encoding="utf-8-sig").read().splitlines()
-        else:
-            with opener(path, "rt", encoding="utf-8-sig") as f:
-                lines = []
-                for line in f:
-                    if not (self.comment and line.startswith(self.comment)) and line.strip():
-                        lines = [line]
-                        break
-        for line in lines:
-            if line.strip() and not (self.comment and line.startswith(self.comment)):
-                return next(csv.reader([line.rstrip("\r\n")], delimiter=self.sep))
-        return []
+            return self._zip_columns(path)
+        options = {"sep": self.sep, "header": "true", "escape": '"', "quote": '"', **self.options} | ({"comment": self.comment} if self.comment else {})
+        return spark.read.options(**options).csv(path).columns
+
+    def _zip_columns(self, path: str) -> list[str]:
+        fs, p = filesystem(path)
+        with fs.open_input_file(p) as f, zipfile.ZipFile(f) as z:
+            first = pd.read_csv(z.open(z.namelist()[0]), sep=self.sep, comment=self.comment, header=0 if self.header else None, nrows=1)
+        return [str(c) for c in first.columns]
 
     def schema(self, spark: SparkSession, paths: list[str]) -> T.StructType | None:
         """The schema to read with, or None if the types have to be inferred."""
         side = schema_of_file(self.schema_file) if self.schema_file else None
-        names = self.column_names or (side.names if side is not None and not self.header else None) or (self._header_of(paths[0]) if self.header and paths else None)
+        names = self.column_names or (side.names if side is not None and not self.header else None) or (self._header_of(spark, paths[0]) if self.header and paths else None)
         types = {f.name: f.dataType.simpleString() for f in side} if side is not None else {}
         types |= {k: spark_type(v) for k, v in (self.type_map or {}).items()}
         if names is None or not types:
@@ -209,7 +211,7 @@ class CsvReader(InputReader):
         zipped = [p for p in paths if p.endswith(".zip")]
         plain = [p for p in paths if not p.endswith(".zip")]
         schema = self.schema(spark, paths)
-        options = {"sep": self.sep, "header": str(self.header).lower(), "enforceSchema": "false" if self.header else "true", "escape": '"', "quote": '"', **self.options}
+        options = {"sep": self.sep, "header": str(self.header).lower(), "enforceSchema": "false" if self.header else "true", "escape": '"', "quote": '"', "mode": "FAILFAST", **self.options}
         if self.comment:
             options["comment"] = self.comment
         reader = spark.read.options(**options)
@@ -224,7 +226,7 @@ class CsvReader(InputReader):
                 if parts and fused != parts[0].schema:
                     parts = [spark.read.options(**options).schema(fused).csv(plain)]
                 schema = fused
-            parts.append(text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema]))
+            parts.append(text.select(*[strict(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in schema]))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -234,9 +236,7 @@ class CsvReader(InputReader):
         """The rows of all members as text, one archive a task."""
         sep, comment, header, names = self.sep, self.comment, self.header, self.column_names
         if schema is None:
-            with zipfile.ZipFile(paths[0]) as z:
-                first = pd.read_csv(z.open(z.namelist()[0]), sep=sep, comment=comment, header=0 if header else None, names=names, nrows=1)
-            columns = [str(c) for c in first.columns]
+            columns = names or self._zip_columns(paths[0])
         else:
             columns = schema.names
 
@@ -262,21 +262,40 @@ class IndexedCsvReader(CsvReader):
 
 @dataclass
 class ParquetReader(InputReader):
-    """Parquet files; read_columns before column_names. Unsigned and decimal(20,0) pixel columns become signed."""
+    """Parquet files of one schema or of several that merge; read_columns before column_names.
+
+    Unsigned and decimal(20,0) pixel columns become signed.  A named index of pandas is a column like others, first in
+    the table as pandas shows it; an unnamed one is dropped.  merge_schema=False takes the schema of one file for all and
+    saves the look at every footer.
+    """
 
     column_names: list[str] | None = None
+    merge_schema: bool = True
 
     def _paths(self, paths: list[str]) -> list[str]:
         return paths
 
     def read(self, spark, paths, read_columns=None):
         paths = self._paths(list(paths))
-        df = spark.read.option("recursiveFileLookup", "true").parquet(*paths)
+        df = spark.read.options(recursiveFileLookup="true", mergeSchema=str(self.merge_schema).lower()).parquet(*paths)
+        index = self._pandas_index(paths[0])
+        df = df.drop("__index_level_0__")
+        df = df.select(*[c for c in index if c in df.columns], *[c for c in df.columns if c not in index])
         names = {"Norder": "int", "Dir": "bigint", "Npix": "bigint"}
         df = df.withColumns({c: F.col(c).cast(t) for c, t in names.items() if c in df.columns and df.schema[c].dataType.simpleString() not in ("int", "bigint", "tinyint")})
         return _narrow(df, read_columns, self.column_names)
 
 
+    def _pandas_index(self, path: str) -> list[str]:
+        """Names of the index columns in the pandas metadata of a file; none for a folder."""
+        fs, p = filesystem(path)
+        if fs.get_file_info(p).type != pafs.FileType.File:
+            return []
+        with fs.open_input_file(p) as f:
+            held = pq.read_schema(f).pandas_metadata or {}
+        return [c for c in held.get("index_columns", []) if isinstance(c, str) and not c.startswith("__index_level_")]
+
+
 @dataclass
 class IndexedParquetReader(ParquetReader):
     """Paths are index files that list the parquet files."""
@@ -289,39 +308,52 @@ class IndexedParquetReader(ParquetReader):
 class EcsvReader(InputReader):
     """Enhanced CSV 1.0: a YAML header in comment lines gives names and types; arrays are JSON in text.
 
-    All files share the first one's header.
+    Each file is read by its own header; the result has the columns of all, null where a file lacks one.  A value that is
+    none of its type stops the read.  Paths may be of any file system.
     """
 
     def read(self, spark, paths, read_columns=None):
-        import yaml
+        groups: dict[str, list[str]] = {}
+        for path in paths:
+            groups.setdefault(self._head(path), []).append(path)
+        parts = [self._read_alike(spark, head, alike) for head, alike in groups.items()]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p, allowMissingColumns=True)
+        return _narrow(out, read_columns)
 
-        paths = list(paths)
-        check_file(paths[0])
+    def _head(self, path: str) -> str:
+        """The comment lines a file begins with."""
+        check_file(path)
+        fs, p = filesystem(path)
         head = []
-        with open(paths[0], encoding="utf-8") as f:
-            for line in f:
+        with fs.open_input_stream(p) as raw:
+            for line in io.TextIOWrapper(raw, encoding="utf-8"):
                 if not line.startswith("#"):
                     break
-                head.append(line[1:].removeprefix(" ").rstrip("\n"))
+                head.append(line[1:].removeprefix(" ").rstrip("\r\n"))
         if not head or not head[0].startswith("%ECSV"):
-            raise ValueError("no ECSV header")
+            raise ValueError(f"{path} has no ECSV header")
+        return "\n".join(x for x in head[1:] if x != "---")
+
+    def _read_alike(self, spark: SparkSession, head: str, paths: list[str]) -> DataFrame:
+        import yaml
+
         # tags such as !astropy.table carry no meaning here
         loader = type("Plain", (yaml.SafeLoader,), {})
         loader.add_multi_constructor("!", lambda ld, _, node: ld.construct_mapping(node, deep=True) if isinstance(node, yaml.MappingNode) else ld.construct_sequence(node, deep=True))
-        meta = yaml.load("\n".join(x for x in head[1:] if x != "---"), Loader=loader)  # noqa: S506
+        meta = yaml.load(head, Loader=loader)  # noqa: S506
         columns = meta["datatype"]
-        sep = meta.get("delimiter", " ")
         text = T.StructType([T.StructField(c["name"], T.StringType()) for c in columns])
-        df = spark.read.options(sep=sep, header="true", comment="#", escape='"', quote='"', nullValue="").schema(text).csv(paths)
+        df = spark.read.options(sep=meta.get("delimiter", " "), header="true", comment="#", escape='"', quote='"', nullValue="", mode="FAILFAST").schema(text).csv(paths)
         out = []
         for c in columns:
-            sub = c.get("subtype")
+            sub, value = c.get("subtype"), F.col(f"`{c['name']}`")
             if c["datatype"] == "string" and sub:
-                kind = spark_type(sub.split("[")[0])
-                out.append(F.from_json(F.col(f"`{c['name']}`"), f"array<{kind}>", {"allowNonNumericNumbers": "true"}).alias(c["name"]))
+                out.append(F.from_json(value, f"array<{spark_type(sub.split('[')[0])}>", {"allowNonNumericNumbers": "true", "mode": "FAILFAST"}).alias(c["name"]))
             else:
-                out.append(F.col(f"`{c['name']}`").try_cast(spark_type(c["datatype"])).alias(c["name"]))
-        return _narrow(df.select(*out), read_columns)
+                out.append(strict(value, spark_type(c["datatype"]), c["name"]).alias(c["name"]))
+        return df.select(*out)
 
 
 _READERS: dict[str, type[InputReader]] = {"csv": CsvReader, "ecsv": EcsvReader, "parquet": ParquetReader, "indexed_csv": IndexedCsvReader, "indexed_parquet": IndexedParquetReader}
@@ -334,7 +366,7 @@ def get_file_reader(file_format: str, **kwargs: Any) -> InputReader:
 
         return FitsReader(**kwargs)
     if file_format not in _READERS:
-        raise NotImplementedError(f"File Format: {file_format} not supported")
+        raise NotImplementedError(f"there is no reader of {file_format}")
     return _READERS[file_format](**kwargs)
 
 

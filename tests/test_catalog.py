@@ -16,7 +16,7 @@ def crowded(spark, tmp_path_factory):
     """One id with more rows in one cell of the mapping order than a partition may hold."""
     d = str(tmp_path_factory.mktemp("crowded"))
     ids = [HOT, 1, 2, 3]
-    pd.DataFrame({"id": ids, "ra": [45.0, 45.1, 200.0, 310.0], "dec": [10.0, 10.1, -40.0, 70.0]}).to_parquet(f"{d}/sky_catalog.parquet")
+    pd.DataFrame({"id": ids, "ra": [45.0, 45.1, 200.0, 310.0], "dec": [10.0, 10.1, -40.0, 70.0], "ra_error": 5, "dec_error": 7}).to_parquet(f"{d}/sky_catalog.parquet")
     cells = catalog._object_cells(spark, d).select("id", "cell").toPandas().set_index("id").cell
     rows = [(HOT, "g")] * (10 * catalog.THRESHOLD + 1) + [(k, "r") for k in ids]
     sources = pd.DataFrame(rows, columns=["id", "band"])

@@ -92,7 +92,7 @@ def test_indexed_and_discovery(spark, tmp_path):
         rd.find_input_paths(str(tmp_path), input_file_list=["a"])
     with pytest.raises(FileNotFoundError):
         rd.find_input_paths(str(tmp_path / "none"))
-    with pytest.raises(FileNotFoundError, match="Directory"):
+    with pytest.raises(FileNotFoundError, match="folder"):
         rd.check_file(str(tmp_path))
     with pytest.raises(NotImplementedError):
         rd.get_file_reader("unicorns")
@@ -133,3 +133,48 @@ def test_fits(spark, tmp_path):
     assert FitsReader(column_names=["name"]).read(spark, [str(tmp_path / "t.fits")], ["ra"]).columns == ["ra"]
     with pytest.raises(ValueError):
         FitsReader(column_names=["id"], skip_column_names=["ra"]).read(spark, [str(tmp_path / "t.fits")])
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_bad_values_stop_the_read(spark, tmp_path, zipped):
+    """No value is lost without a word, at whatever row it stands."""
+    text = "id,v\n" + "".join(f"{k},{k}\n" for k in range(12_000)) + "12000,abc\n"
+    path = tmp_path / ("a.zip" if zipped else "a.csv")
+    if zipped:
+        with zipfile.ZipFile(path, "w") as z:
+            z.writestr("a.csv", text)
+    else:
+        path.write_text(text)
+    reader = rd.CsvReader(type_map={"id": "int64", "v": "int64"})
+    with pytest.raises(Exception, match="v|MALFORMED"):
+        reader.read(spark, [str(path)]).agg({"v": "sum"}).collect()
+    assert rd.CsvReader().read(spark, [str(path)]).where("v = 'abc'").count() == 1
+
+
+def test_headers_that_differ_stop_the_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,v\n1,2\n")
+    (tmp_path / "b.csv").write_text("v,id\n1,2\n")
+    with pytest.raises(Exception, match="header|CSV"):
+        rd.CsvReader(type_map={"id": "int64", "v": "int64"}).read(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()
+
+
+def test_ecsv_files_have_headers_of_their_own(spark, tmp_path):
+    head = "# %ECSV 1.0\n# ---\n# delimiter: ','\n# datatype:\n"
+    (tmp_path / "a.ecsv").write_text(head + "# - {name: id, datatype: int64}\n# - {name: x, datatype: string, subtype: 'int64[null]'}\nid,x\n1,\"[1,null]\"\n")
+    (tmp_path / "b.ecsv").write_text(head + "# - {name: y, datatype: float64}\n# - {name: id, datatype: int64}\ny,id\n2.5,2\n")
+    got = rd.EcsvReader().read(spark, [str(tmp_path / "a.ecsv"), f"file://{tmp_path}/b.ecsv"]).orderBy("id").collect()
+    assert [(r.id, r.x, r.y) for r in got] == [(1, [1, None], None), (2, None, 2.5)]
+    (tmp_path / "c.ecsv").write_text(head + "# - {name: id, datatype: int64}\nid\nabc\n")
+    with pytest.raises(Exception, match="abc"):
+        rd.EcsvReader().read(spark, [str(tmp_path / "c.ecsv")]).collect()
+    with pytest.raises(ValueError, match="no ECSV header"):
+        rd.EcsvReader().read(spark, [str(tmp_path / "../nothing.csv")]) if (tmp_path / "../nothing.csv").write_text("a\n") else None
+
+
+def test_parquet_schemas_merge_and_a_named_index_comes_first(spark, tmp_path):
+    pd.DataFrame({"v": [1], "i": ["a"]}).set_index("i").to_parquet(tmp_path / "a.parquet")
+    pd.DataFrame({"v": [2], "w": [3.0], "i": ["b"]}).set_index("i").to_parquet(tmp_path / "b.parquet")
+    df = rd.ParquetReader().read(spark, [str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")])
+    assert df.columns == ["i", "v", "w"] and [tuple(r) for r in df.orderBy("v").collect()] == [("a", 1, None), ("b", 2, 3.0)]
+    pd.DataFrame({"v": [1, 2]}, index=[5, 9]).to_parquet(tmp_path / "c.parquet")
+    assert rd.ParquetReader().read(spark, [str(tmp_path / "c.parquet")]).columns == ["v"]
