@@ -61,32 +61,50 @@ def polygon_distance(ra, dec, order: int, pixel: int, step: int) -> np.ndarray:
     return np.degrees(out)
 
 
-def exact_distance(ra, dec, order: int, pixel: int) -> np.ndarray:
-    """Degrees to the true boundary.
+def exact_distances(ra: np.ndarray, dec: np.ndarray, order: np.ndarray, pixel: np.ndarray, within: float | None = None) -> np.ndarray:
+    """Degrees from each point to the true boundary of a cell of its own.
 
     Of each edge that can hold the nearest point, the stretch round its nearest sampled point is narrowed down; an
-    edge cannot if its nearest sample is farther than half a step beyond the nearest sample of all.
+    edge cannot if its nearest sample is farther than half a step beyond the nearest sample of all.  within: only
+    whether a distance is at most so many degrees has to be right; a point whose samples tell is not looked at closer.
     """
-    p = hp.xyz_np(ra, dec)
-    v = _edge(order, pixel, EXACT_STEP)
-    v = np.concatenate([v, v[:1]])
-    chord = np.sqrt(np.clip(2 - 2 * (p @ v.T), 0, None))
-    half = np.linalg.norm(np.diff(v, axis=0), axis=1).max() * 0.6
-    face, ix, iy = hp.face_xy_np(order, [pixel])
-    ns = float(1 << order)
+    order, pixel = np.asarray(order, dtype=np.int64), np.asarray(pixel, dtype=np.int64)
+    out = np.empty(len(order))
+    for at in range(0, len(order), 4096):
+        s = slice(at, at + 4096)
+        out[s] = _exact_block(hp.xyz_np(ra[s], dec[s]), order[s], pixel[s], within)
+    return out
+
+
+def _exact_block(p: np.ndarray, order: np.ndarray, pixel: np.ndarray, within: float | None) -> np.ndarray:
+    n = len(p)
+    face, ix, iy, ns = np.empty(n, np.int64), np.empty(n), np.empty(n), np.ldexp(1.0, order.astype(int))
+    chord, half = np.empty((n, 4 * EXACT_STEP + 1)), np.empty(n)
+    for o in np.unique(order).tolist():
+        rows = np.flatnonzero(order == o)
+        cells, which = np.unique(pixel[rows], return_inverse=True)
+        face[rows], ix[rows], iy[rows] = (x[which] for x in hp.face_xy_np(o, cells))
+        v = hp.xyz_np(*hp.boundary_np(o, cells, EXACT_STEP))
+        v = np.concatenate([v, v[:, :1]], axis=1)
+        half[rows] = (np.linalg.norm(np.diff(v, axis=1), axis=2).max(axis=1) * 0.6)[which]
+        chord[rows] = np.sqrt(np.clip(2 - 2 * np.einsum("nk,nmk->nm", p[rows], v[which]), 0, None))
     best = chord.min(axis=1)
     nearest = best.copy()
+    open_ = np.ones(n, dtype=bool)
+    if within is not None:
+        reach = 2 * np.sin(np.radians(within) / 2)
+        open_ = (nearest > reach) & (nearest - half <= reach)
     grid = np.linspace(0.0, 1.0, 9)
     for side in range(4):
         own = chord[:, side * EXACT_STEP : (side + 1) * EXACT_STEP + 1]
-        rows = np.flatnonzero(own.min(axis=1) - half <= nearest)
+        rows = np.flatnonzero(open_ & (own.min(axis=1) - half <= nearest))
         if not len(rows):
             continue
-        q = p[rows]
+        q, f, x0, y0, size = p[rows], face[rows], ix[rows], iy[rows], ns[rows]
 
-        def at(t: np.ndarray, q: np.ndarray = q, side: int = side) -> np.ndarray:
+        def at(t: np.ndarray, q=q, f=f, x0=x0, y0=y0, size=size, side=side) -> np.ndarray:
             x, y = ((t, 0 * t), (0 * t + 1, t), (1 - t, 0 * t + 1), (0 * t, 1 - t))[side]
-            r, d = hp.project_np(np.full(len(t), face[0]), (ix[0] + x) / ns, (iy[0] + y) / ns)
+            r, d = hp.project_np(f, (x0 + x) / size, (y0 + y) / size)
             return np.linalg.norm(q - hp.xyz_np(r, d), axis=1)
 
         mid, width = own[rows].argmin(axis=1) / EXACT_STEP, 2.0 / EXACT_STEP
@@ -99,6 +117,27 @@ def exact_distance(ra, dec, order: int, pixel: int) -> np.ndarray:
     return np.degrees(2 * np.arcsin(np.clip(best / 2, 0, 1)))
 
 
+def exact_distance(ra, dec, order: int, pixel: int) -> np.ndarray:
+    """Degrees to the true boundary of one cell."""
+    ra, dec = np.atleast_1d(np.asarray(ra, dtype=float)), np.atleast_1d(np.asarray(dec, dtype=float))
+    return exact_distances(ra, dec, np.full(len(ra), order), np.full(len(ra), pixel))
+
+
+def _distances(r: pd.Series, d: pd.Series, o: pd.Series, p: pd.Series, samples: int | None, within: float | None) -> np.ndarray:
+    """Arcseconds, NaN where something is null."""
+    out = np.full(len(r), np.nan)
+    ok = (r.notna() & d.notna() & o.notna() & p.notna()).to_numpy()
+    rr, dd, oo, pp = r.to_numpy(float)[ok], d.to_numpy(float)[ok], o[ok].to_numpy(np.int64), p[ok].to_numpy(np.int64)
+    if samples is None:
+        out[ok] = exact_distances(rr, dd, oo, pp, None if within is None else within / 3600.0) * 3600.0
+        return out
+    found = np.empty(len(rr))
+    for (order, pixel), rows in pd.DataFrame({"o": oo, "p": pp}).groupby(["o", "p"]).indices.items():
+        found[rows] = polygon_distance(rr[rows], dd[rows], order, pixel, samples)
+    out[ok] = found * 3600.0
+    return out
+
+
 def boundary_distance(ra: Column, dec: Column, order: Column, pixel: Column, samples: int | None = None) -> Column:
     """Arcseconds from a point to the boundary of a cell, from either side.
 
@@ -107,14 +146,17 @@ def boundary_distance(ra: Column, dec: Column, order: Column, pixel: Column, sam
 
     @F.pandas_udf("double")
     def distance(r: pd.Series, d: pd.Series, o: pd.Series, p: pd.Series) -> pd.Series:
-        out = np.full(len(r), np.nan)
-        ok = (r.notna() & d.notna() & o.notna() & p.notna()).to_numpy()
-        key = pd.DataFrame({"o": o[ok].astype("int64"), "p": p[ok].astype("int64")}).reset_index(drop=True)
-        rows, rr, dd = np.flatnonzero(ok), r.to_numpy(float), d.to_numpy(float)
-        for (oo, pp), group in key.groupby(["o", "p"]):
-            at = rows[group.index.to_numpy()]
-            f = exact_distance(rr[at], dd[at], oo, pp) if samples is None else polygon_distance(rr[at], dd[at], oo, pp, samples)
-            out[at] = f * 3600.0
-        return pd.Series(out).where(ok)
+        out = pd.Series(_distances(r, d, o, p, samples, None))
+        return out.where(out.notna())
 
     return distance(ra, dec, order, pixel)
+
+
+def near_boundary(ra: Column, dec: Column, order: Column, pixel: Column, arcsec: float, samples: int | None = None) -> Column:
+    """Whether ``boundary_distance`` is at most ``arcsec``; false for nulls.  Most points are told by the samples alone."""
+
+    @F.pandas_udf("boolean")
+    def near(r: pd.Series, d: pd.Series, o: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series(np.nan_to_num(_distances(r, d, o, p, samples, arcsec), nan=np.inf) <= arcsec)
+
+    return near(ra, dec, order, pixel)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmill.functions.geometry import boundary_distance
+from starmill.functions.geometry import near_boundary
 from starmill.functions.healpix import complement, dir_of, has_position, margin_ring, with_cell
 
 #: Most margin pixels that are sent to the tasks to drop rows far from every edge, 8 bytes each.
@@ -49,9 +49,10 @@ def at_edges(cells: DataFrame, pairs: DataFrame, cell: str, limit: int = EDGE_LI
     Only a filter ahead of the join: beyond ``limit`` pixels all rows stay.
     """
     edge = pairs.select("margin_pixel").where("margin_pixel IS NOT NULL").distinct()
-    if edge.limit(limit + 1).count() > limit:
+    pixels = edge.limit(limit + 1).toArrow().column(0).to_numpy()
+    if len(pixels) > limit:
         return cells
-    shared = cells.sparkSession.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in edge.toLocalIterator()), np.int64)))
+    shared = cells.sparkSession.sparkContext.broadcast(np.sort(pixels))
 
     @F.pandas_udf("boolean")
     def known(c: pd.Series) -> pd.Series:
@@ -78,11 +79,11 @@ def margin_rows(df: DataFrame, pairs: DataFrame, ra: str, dec: str, margin_order
     """The margin table of catalog rows that have Norder, Dir, Npix.
 
     Norder, Dir, Npix become the partition a row is a margin for; margin_Norder, margin_Dir, margin_Npix the one it
-    lies in.  fine: only rows within the threshold of the boundary; samples see boundary_distance.
+    lies in.  fine: only rows within the threshold of the boundary; samples see near_boundary.
     """
     found = margin_candidates(df, pairs, ra, dec, margin_order)
     if fine:
-        found = found.where(boundary_distance(F.col(ra), F.col(dec), F.col("margin_target_order"), F.col("margin_target_pixel"), samples) <= threshold_arcsec)
+        found = found.where(near_boundary(F.col(ra), F.col(dec), F.col("margin_target_order"), F.col("margin_target_pixel"), threshold_arcsec, samples))
     found = found.withColumnsRenamed({c: f"margin_{c}" for c in ("Norder", "Dir", "Npix")})
     rest = [c for c in df.columns if c not in ("Norder", "Dir", "Npix", "_healpix_29")]
     index = ["_healpix_29"] if "_healpix_29" in df.columns else []
