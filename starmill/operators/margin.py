@@ -60,8 +60,8 @@ def at_edges(cells: DataFrame, pairs: DataFrame, cell: str, limit: int = EDGE_LI
         k = np.searchsorted(edges, c)
         return pd.Series((k < len(edges)) & (edges[np.minimum(k, len(edges) - 1)] == c) if len(edges) else np.zeros(len(c), dtype=bool))
 
-    # called non-deterministic, so that the filter is not pushed through the projections of the cell and inlined
-    return cells.where(known.asNondeterministic()(F.col(cell)))
+    # a non-deterministic column first: a filter on the call itself would be pushed through the projections of the cell
+    return cells.withColumn("__edge", known.asNondeterministic()(F.col(cell))).where("__edge").drop("__edge")
 
 
 def margin_candidates(df: DataFrame, pairs: DataFrame, ra: str, dec: str, margin_order: int) -> DataFrame:
