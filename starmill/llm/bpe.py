@@ -204,3 +204,20 @@ def encode_column(df: DataFrame, keys: list[str], text: str, ids: str = "ids", p
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], lists], names=[*keys, ids])
 
     return df.select(*keys, text).mapInArrow(run, schema)
+
+
+def decode_column(df: DataFrame, keys: list[str], ids: str = "ids", text: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """(keys..., text): the texts of lists of ids; a null or empty list gives an empty text.
+
+    Bytes that are no UTF-8, as parts of a list may be, become replacement characters.
+    """
+    vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(text, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder(vocabulary.value).words
+        for batch in batches:
+            texts = ["".join(map(words.__getitem__, x or ())).encode("latin-1").decode("utf-8", "replace") for x in batch.column(len(keys)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(texts, pa.string())], names=[*keys, text])
+
+    return df.select(*keys, ids).mapInArrow(run, schema)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starmill.llm import quantile_queries
-from starmill.llm.bpe import encode_column
+from starmill.llm.bpe import decode_column, encode_column
 from starmill.llm.leakage import build_index, leaks, search_near
 from starmill.llm.pii import find_personal, redact
 from starmill.queries import table
@@ -15,6 +16,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the texts that the ids give back: null and empty texts are both empty."""
+    return decode_column(p8_ids(spark, sf_dir), ["doc_id"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").alias("n_chars"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -44,5 +50,8 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(docs, "doc_id", "text", find_personal(docs, "doc_id", "text"))
 
 
-QUERIES = {**quantile_queries.QUERIES, "p8_ids": p8_ids, "p9_found": p9_found, "p9_lengths": p9_lengths, "p9_near": p9_near, "p10_found": p10_found, "p10_redacted": p10_redacted}
-SQL: dict[str, str] = {**quantile_queries.SQL}
+QUERIES = {**quantile_queries.QUERIES, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_lengths": p9_lengths, "p9_near": p9_near, "p10_found": p10_found, "p10_redacted": p10_redacted}
+SQL: dict[str, str] = {
+    **quantile_queries.SQL,
+    "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest, length(coalesce(text, '')) AS n_chars FROM documents",
+}

@@ -73,3 +73,10 @@ def test_full_memo_is_emptied(mine, monkeypatch):
     out = []
     enc.encode("one two three four five six seven eight nine ten xyzzy plugh", out)
     assert out == mine("one two three four five six seven eight nine ten xyzzy plugh") and len(enc.memo) <= 5
+
+
+def test_round_trip(spark):
+    texts = ["hello world", None, "", "Überlauf \u200b 🎉\r\n\t<|endoftext|>", "a" * 100_000, "проверено\x00\x1c x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in bpe.decode_column(bpe.encode_column(df, ["doc_id"], "text"), ["doc_id"]).collect()}
+    assert got == {k: t or "" for k, t in enumerate(texts)}
