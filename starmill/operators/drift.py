@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starmill.functions.values import bigint_of, double_of, is_value, trimmed
+from starmill.functions.values import DOUBLE, INTEGER, bigint_of, double_of, is_value, trimmed
 
 #: Alternatives from narrow to wide.
 ALTERNATIVES = ("bigint", "double", "string")
@@ -25,8 +25,12 @@ def canonical_name(c: Column) -> Column:
 
 
 def tag(value: Column) -> Column:
-    """Rank of the narrowest alternative that holds a trimmed value; null if it is no value."""
-    return F.when(is_value(value), F.when(bigint_of(value).isNotNull(), 0).when(double_of(value).isNotNull(), 1).otherwise(2))
+    """Rank of the narrowest alternative that holds a trimmed value; null if it is no value.
+
+    Only whole numbers of more than 18 digits have to be cast to tell.
+    """
+    whole = F.when(value.rlike("^[+-]?[0-9]{1,18}$"), 0).when(value.rlike(INTEGER), F.when(bigint_of(value).isNotNull(), 0).otherwise(1))
+    return F.when(is_value(value), whole.when(value.rlike(DOUBLE), 1).otherwise(2))
 
 
 def header_paths(files: DataFrame, aliases: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -58,11 +62,13 @@ def value_unions(rows: DataFrame, fields: dict[str, str], extra: str = "extra",
     Paths are the typed columns and the keys of the JSON object in ``extra``; JSON that cannot be read counts
     as empty.
     """
-    plain = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in fields])
-    loose = F.transform(F.map_entries(F.from_json(extra, "map<string,string>")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
+    # trimmed before the rows are multiplied, and counted by one evaluation of the tag
+    plain = F.array(*[F.struct(F.lit(n).alias("name"), trimmed(F.col(n).cast("string")).alias("value")) for n in fields])
+    loose = F.transform(F.map_entries(F.from_json(extra, "map<string,string>")), lambda e: F.struct(e["key"].alias("name"), trimmed(e["value"]).alias("value")))
     value = rows.select(key, F.explode(F.when(F.col(extra).isNull(), plain).otherwise(F.concat(plain, F.coalesce(loose, F.array().cast("array<struct<name:string,value:string>>"))))).alias("e"))
-    value = value.select(key, "e.name", trimmed(F.col("e.value")).alias("value")).withColumn("tag", tag(F.col("value"))).where("tag is not null")
-    return value.groupBy(key, "name").agg(*[F.count(F.when(F.col("tag") == k, 1)).alias(f"n_{k}") for k in range(3)])
+    value = value.select(key, "e.name", "e.value").where(is_value(F.col("value")))
+    kind = tag(F.col("value"))
+    return value.groupBy(key, "name").agg(*[F.count(F.when(kind == k, 1)).alias(f"n_{k}") for k in range(3)])
 
 
 def drift_report(files: DataFrame, rows: DataFrame, aliases: DataFrame, fields: dict[str, str]) -> DataFrame:
