@@ -25,6 +25,8 @@ from starmill.session import written
 
 #: Bits of each of the two axes of the Hilbert curve, and of each half of a code.
 BITS = 16
+#: Most tasks of the shuffle to the files: a shuffle of as many tasks as there are files would not end at a million files.
+MOST_TASKS = 10_000
 
 
 def misfiled(df_dir: Column, pix: Column) -> Column:
@@ -95,8 +97,9 @@ def write_layout(plan: DataFrame, path: str) -> DataFrame:
     total = numbered.agg(F.coalesce(F.sum("n_files"), F.lit(0))).first()[0]
     if total:
         placed = plan.join(numbered.drop("n_files"), plan["Dir"].eqNullSafe(numbered["__dir"])).drop("__dir")
-        placed = placed.repartitionById(int(total), (F.col("__first") + F.col("target_file")).cast("int")).sortWithinPartitions("code", "count_id")
-        placed.withColumns({"out_dir": F.col("Dir"), "out_file": F.col("target_file")}).drop("__first").write.partitionBy("out_dir", "out_file").parquet(path)
+        tasks = min(int(total), MOST_TASKS)  # a task writes neighbouring files one after the other
+        placed = placed.withColumns({"out_dir": F.col("Dir"), "out_file": F.col("target_file")}).repartitionById(tasks, F.floor((F.col("__first") + F.col("target_file")) * tasks / int(total)).cast("int"))
+        placed.drop("__first").sortWithinPartitions("out_dir", "out_file", "code", "count_id").write.partitionBy("out_dir", "out_file").parquet(path)
     else:
         plan.write.parquet(path)
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)

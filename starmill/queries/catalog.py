@@ -230,7 +230,7 @@ def _align_sql(name: str, cells: str, threshold: int) -> str:
     """CTEs {name}_hist, {name}_parts, {name}_align, {name}_rows from a CTE with a column cell of ORDER."""
     totals = " UNION ALL ".join(f"SELECT {o} AS Norder, cell >> {2 * (ORDER - o)} AS Npix, sum(n) AS n FROM {name}_hist GROUP BY ALL" for o in range(ORDER + 1))
     return f"""{name}_hist AS MATERIALIZED (SELECT cell, count(*) AS n FROM {cells} WHERE cell IS NOT NULL GROUP BY cell), {name}_tot AS MATERIALIZED ({totals}),
- {name}_parts AS MATERIALIZED (SELECT t.Norder, t.Npix, CAST(t.n AS BIGINT) AS n FROM {name}_tot t LEFT JOIN {name}_tot p ON p.Norder = t.Norder - 1 AND p.Npix = t.Npix >> 2 WHERE t.n <= {threshold} AND (t.Norder = 0 OR p.n > {threshold})),
+ {name}_parts AS MATERIALIZED (SELECT t.Norder, t.Npix, CAST(t.n AS BIGINT) AS n FROM {name}_tot t LEFT JOIN {name}_tot p ON p.Norder = t.Norder - 1 AND p.Npix = t.Npix >> 2 WHERE (t.n <= {threshold} OR t.Norder = {ORDER}) AND (t.Norder = 0 OR p.n > {threshold})),
  {name}_align AS MATERIALIZED (SELECT h.cell, p.Norder, p.Npix, p.n FROM (SELECT cell, o, cell >> (2 * ({ORDER} - o)) AS q FROM {name}_hist, (SELECT unnest(range({ORDER + 1})) AS o)) h JOIN {name}_parts p ON p.Norder = h.o AND p.Npix = h.q),
  {name}_rows AS MATERIALIZED (SELECT c.*, Norder, CAST(floor(Npix / 10000) * 10000 AS BIGINT) AS Dir, Npix FROM {cells} c JOIN {name}_align a ON c.cell = a.cell)"""
 

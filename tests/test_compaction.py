@@ -3,9 +3,11 @@ from datetime import datetime as dt
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from starmill.functions.hilbert import hilbert_np
+from starmill.operators import compaction
 from starmill.operators.compaction import audit_files, compact, consolidate, digests, plan_layout, unique_records
 from starmill.session import scratch_path
 
@@ -37,7 +39,9 @@ def test_audit(spark):
     assert audit_files(empty, files.where("false"), consolidate(empty, scratch_path(spark, "t"), 2)[0], 2000).collect() == []
 
 
-def test_layout_is_even_whole_and_compared(spark):
+@pytest.mark.parametrize("tasks", [10_000, 3])
+def test_layout_is_even_whole_and_compared(spark, monkeypatch, tasks):
+    monkeypatch.setattr(compaction, "MOST_TASKS", tasks)
     rng = np.random.default_rng(0)
     rows = [(int(k % 40), int(k % 5000), 5, int(rng.integers(0, 2)) * 10000, int(p), 6, 0, int(p) * 4, int(k % 7), T) for k, p in enumerate(rng.integers(9000, 12000, 5500))]
     # a third of the records lie in one cell
