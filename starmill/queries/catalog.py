@@ -242,6 +242,20 @@ _COUNTS = f"SELECT o.Norder, o.Dir, o.Npix, s.Norder AS join_Norder, s.Dir AS jo
 _SOUND = "SELECT DISTINCT id FROM sky_catalog WHERE id IS NOT NULL AND ra_error BETWEEN 0 AND 1000 AND dec_error BETWEEN 0 AND 1000"
 _LIVE = "(SELECT DISTINCT Norder, Npix FROM partition_info WHERE catalog_name = '{}')"
 _OVERLAP = "a.Npix << (2 * (12 - a.Norder)) < (b.Npix + 1) << (2 * (12 - b.Norder)) AND b.Npix << (2 * (12 - b.Norder)) < (a.Npix + 1) << (2 * (12 - a.Norder))"
+#: Partitions and the coarsest empty pixels round them; the grid points on the edge of each; the cells met on a small
+#: circle round each point, other than the partition's own.
+_RING = f"""live AS MATERIALIZED (SELECT Norder AS o, Npix AS p FROM {_LIVE.format("sky_object")}), lines AS MATERIALIZED (SELECT o, p, o - k AS uo, p >> (2 * k) AS up FROM live, (SELECT unnest(range(1, {MARGIN_ORDER + 1})) AS k) WHERE k <= o),
+ above AS MATERIALIZED (SELECT DISTINCT uo AS o, up AS p FROM lines), cand AS MATERIALIZED (SELECT 0 AS o, unnest(range(12)) AS p UNION SELECT o + 1, 4 * p + k FROM above, (SELECT unnest(range(4)) AS k)),
+ held AS MATERIALIZED (SELECT DISTINCT c.o, c.p FROM cand c, (SELECT unnest(range(0, {MARGIN_ORDER + 1})) AS k) JOIN live l ON l.o = c.o - k AND l.p = c.p >> (2 * k)),
+ parts AS MATERIALIZED (SELECT o, p FROM live UNION SELECT o, p FROM (SELECT * FROM cand EXCEPT SELECT * FROM above EXCEPT SELECT * FROM held)),
+ xy AS (SELECT o, p, p >> (2 * o) AS f, {" + ".join(f"(((p & ((1 << (2 * o)) - 1)) >> {2 * b}) & 1) * {1 << b}" for b in range(MARGIN_ORDER))} AS ix, {" + ".join(f"(((p & ((1 << (2 * o)) - 1)) >> {2 * b + 1}) & 1) * {1 << b}" for b in range(MARGIN_ORDER))} AS iy, 1 << ({MARGIN_ORDER} - o) AS n FROM parts),
+ g AS (SELECT o, p, f, CASE side WHEN 0 THEN ix * n + k WHEN 1 THEN ix * n + n WHEN 2 THEN ix * n + n - k ELSE ix * n END / {float(1 << MARGIN_ORDER)} AS x, CASE side WHEN 0 THEN iy * n WHEN 1 THEN iy * n + k WHEN 2 THEN iy * n + n ELSE iy * n + n - k END / {float(1 << MARGIN_ORDER)} AS y
+  FROM (SELECT *, unnest(range(n)) AS k FROM xy), (SELECT unnest(range(4)) AS side)),
+ r AS (SELECT *, f // 4 + 2 - x - y AS r, CASE WHEN f // 4 = 1 THEN 2 * (f % 4) ELSE 2 * (f % 4) + 1 END AS col FROM g), c AS (SELECT *, CASE WHEN r < 1 THEN r WHEN r > 3 THEN 4 - r ELSE 1.0 END AS cap FROM r),
+ z AS (SELECT *, CASE WHEN r < 1 THEN 1 - cap * cap / 3 WHEN r > 3 THEN cap * cap / 3 - 1 ELSE (2 - r) * 2 / 3 END AS z, radians(CASE WHEN cap > 1e-15 THEN 45.0 * (col * cap + x - y) / cap ELSE 0.0 END) AS phi FROM c),
+ v AS MATERIALIZED (SELECT DISTINCT o, p, z, sqrt(greatest(1 - z * z, 0)) AS s, phi FROM z),
+ d AS (SELECT o, p, s * cos(phi) + q * (-sin(phi) * cos(t) - z * cos(phi) * sin(t)) AS vx, s * sin(phi) + q * (cos(phi) * cos(t) - z * sin(phi) * sin(t)) AS vy, z + q * s * sin(t) AS vz FROM v, (SELECT {0.05 / (1 << MARGIN_ORDER)} AS q, (unnest(range(16)) + 0.5) * pi() / 8 AS t)),
+ pos AS MATERIALIZED (SELECT o, p, degrees(atan2(vy, vx)) AS ra, degrees(atan2(vz, sqrt(vx * vx + vy * vy))) AS dec FROM d)"""
 QUERIES = {
     f.__name__: f
     for f in (
@@ -275,6 +289,7 @@ SQL = {
     "pixel_set_difference": f"SELECT Norder, Npix FROM {_LIVE.format('sky_source')} EXCEPT SELECT Norder, Npix FROM {_LIVE.format('sky_object')}",
     "sky_ordered_partitions": f"SELECT Norder, Npix, row_number() OVER (ORDER BY Npix << (2 * (12 - Norder)), Norder) AS position FROM {_LIVE.format('sky_source')}",
     "margin_coarse": f"WITH pos AS ({_POS}), c AS ({hp.sql_cell('pos', 'ra', 'dec', MARGIN_ORDER, 'cell', 'id')}) SELECT DISTINCT id, partition_order AS margin_target_order, partition_pixel AS margin_target_pixel FROM c JOIN negative_pairs ON cell = margin_pixel",
+    "margin_pairs": f"WITH {_RING} SELECT DISTINCT o AS partition_order, p AS partition_pixel, cell AS margin_pixel FROM ({hp.sql_cell('pos', 'ra', 'dec', MARGIN_ORDER, 'cell', 'o, p')}) WHERE cell >> (2 * ({MARGIN_ORDER} - o)) <> p",
     "pixel_list_filter": f"SELECT DISTINCT a.Norder, a.Npix FROM {_LIVE.format('sky_source')} a JOIN (VALUES (0, 5::BIGINT), (2, 140::BIGINT)) b(Norder, Npix) ON {_OVERLAP}",
     "in_pixel_rows": f"SELECT band, count(*) AS n FROM spatial_index WHERE _healpix_29 >> 58 = 5 GROUP BY band",
     "band_array_explode": "SELECT vec_id, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS value_{b}" for k, b in enumerate("ugriz")) + " FROM embeddings",
