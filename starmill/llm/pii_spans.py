@@ -29,7 +29,8 @@ _MAIL_CUE = re.compile(r"(?:<|mail(?:to)?\W{0,3}|contact\W{0,2}|\w:\s|\b(?:ask|n
 
 # ---------------------------------------------------------------- numbers
 
-_NUMBER = re.compile(r"(?:(?<![\w.-])|(?<=^-))(?:\+|\(|(?=\d))[\d(][\d ()./+-]{5,30}[\dA-Za-z](?![\w])", re.M)
+# patterns begin with their first character, looked back from, so that the engine skips to where it can stand
+_NUMBER = re.compile(r"[+(\d](?:(?<![\w.-].)|(?<=^-.))(?:(?<=\d)|(?<=[+(])[\d(])[\d ()./+-]{5,30}[\dA-Za-z](?![\w])", re.M)
 _NUMBER_PARTS = (
     re.compile(r"\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}$"),  # international with plus
     re.compile(r"00\d{1,3}(?:[ .-]?\d{1,4}){2,6}$"),  # international with zeros
@@ -45,7 +46,7 @@ _ID_FORMS = (
     re.compile(r"\d{6}[-+]?\d{4}[0-9A-Za-z]?$"),
     re.compile(r"\d{9,13}$"),
 )
-_LETTERED = re.compile(r"\b[A-Z]{1,2}\d{6,9}\b|\b[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b")
+_LETTERED = re.compile(r"[A-Z](?<!\w.)(?:[A-Z]?\d{6,9}|[A-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D])\b")
 _ID_LABEL = re.compile(
     r"(?:\b(?:ssn|social security(?: (?:no\.?|number|nr\.?))?|tin|tax(?:payer)? (?:id|no\.?|number)|steuer-?id(?:nr\.?)?|idnr\.?|dni|nie|nif|documento|pesel|personal (?:code|no\.?|number)|national (?:id|insurance)(?: (?:no\.?|number))?"
     r"|passport(?: (?:no\.?|number|nr\.?))?|reisepass(?: ?-?nr\.?)?|passeport(?: (?:no|n°|nº)\.?)?|pasaporte|ni number|nino|insee|cpf|bsn|personnummer|personalausweis|identity(?: (?:no\.?|number|card))?|id (?:no\.?|number|card))\b\.?\"?\s?(?:[:=#]|is|was|ist|est|es)?\s?\"?'?)$",
@@ -82,11 +83,14 @@ _ADDRESS_AFTER = re.compile(r"^(?:,? [A-ZÀ-Þ]|,? (?:in|near|with|and|for) |[.,
 
 _PARTICLE = r"(?:(?:van der|van den|van|von der|von|de la|del|della|der|den|da|di|dos|du|ten|ter|bin|ibn|de) )?(?:(?:al|el|ben|abu)-)?(?:[DOdo]['’])?"
 _LETTER = rf"(?:[^\W\d_]|[{_MARKS}])"
-_TOKEN = rf"[A-ZÀ-ÞŁŚŻĆŠŽČ]{_LETTER}+(?:(?:-|['’](?!s(?![^\W\d_]))){_LETTER}+)*"
+_HEAD = "[A-ZÀ-ÞŁŚŻĆŠŽČ]"
+_TAIL = rf"{_LETTER}+(?:(?:-|['’](?!s(?![^\W\d_]))){_LETTER}+)*"
+_TOKEN = _HEAD + _TAIL
 _FAMILY = re.compile(rf"{_PARTICLE}{_TOKEN}")
-_NAME = re.compile(rf"(?<![\w@./\\-])({_TOKEN})(?: [A-Z]\.)? (?=({_PARTICLE}{_TOKEN})(?![\w@{_MARKS}]))")
+_NAME = re.compile(rf"({_HEAD}(?<![\w@./\\-].){_TAIL})(?: [A-Z]\.)? (?=({_PARTICLE}{_TOKEN})(?![\w@{_MARKS}]))")
 _NAME_WHOLE = re.compile(rf"({_TOKEN})((?: [A-Z]\.)?) ({_PARTICLE}{_TOKEN})(?![\w@{_MARKS}])")
 _NAME_TURNED = re.compile(rf"(?<![\w@./\\-])({_PARTICLE}{_TOKEN}), ({_TOKEN}(?: [A-Z]\.)?)(?![\w@{_MARKS}])")
+_TURNED_HINT = re.compile(rf", {_HEAD}")
 #: Any case, in quotes or after cues only.
 _ANY = rf"{_LETTER}{{2,}}(?:[-'’]{_LETTER}+)*"
 _NAME_LOWER = re.compile(rf"\"({_ANY})((?: [A-Za-z]\.)?),? ({_PARTICLE}{_ANY})(?=\")", re.I)
@@ -236,7 +240,7 @@ def names(text: str) -> Iterator[tuple[int, int, str, str, dict[str, int]]]:
         whole = _NAME_WHOLE.match(text, m.start())
         if whole:
             spans[whole.span()] = (whole[1], whole[3])
-    for m in _NAME_TURNED.finditer(text):
+    for m in _NAME_TURNED.finditer(text) if _TURNED_HINT.search(text) else ():
         spans[m.span()] = (m[2].split(" ")[0], m[1])
     if '"' in text:
         for m in _NAME_LOWER.finditer(text):
