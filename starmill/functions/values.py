@@ -20,12 +20,12 @@ def trimmed(c: Column) -> Column:
 def bigint_of(c: Column) -> Column:
     """The number if ``c`` is written as an integer that fits 64 bits, else null.
 
-    The cast goes through decimal(38,0), so that no sign, zero fill or overflow is guessed at; leading
-    zeros are dropped first, as there may be any number of them.
+    Up to 18 digits are cast as they are.  More go through decimal(38,0), so that no sign, zero fill or overflow is
+    guessed at; leading zeros are dropped first, as there may be any number of them.
     """
     digits = F.regexp_replace(F.regexp_replace(c, "^\\+", ""), "^(-?)0+(?=[0-9])", "$1")
     wide = F.when(c.rlike(INTEGER) & (F.length(digits) <= 20), digits).try_cast("decimal(38,0)")
-    return F.when(wide.between(F.lit("-9223372036854775808").cast("decimal(38,0)"), F.lit("9223372036854775807").cast("decimal(38,0)")), wide.cast("bigint"))
+    return F.when(c.rlike("^[+-]?[0-9]{1,18}$"), c.try_cast("bigint")).when(wide.between(F.lit("-9223372036854775808").cast("decimal(38,0)"), F.lit("9223372036854775807").cast("decimal(38,0)")), wide.cast("bigint"))
 
 
 def double_of(c: Column) -> Column:
