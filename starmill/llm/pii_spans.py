@@ -99,7 +99,8 @@ _LOWER_BEFORE = re.compile(r"(?:\b(?:user|name|holder|owner|author|person|contac
 _STOP = frozenset(
     "a an the this that these those as at by for from in into of on or and but if when while with to is are was were be not no we you he she it they i my our your his her its their all any each every some please dear hi hello hey "
     "thanks thank regards cheers sincerely best kind see ask call contact meet mr mrs ms miss dr prof sir madam herr frau mme monsieur madame señor señora sr sra der die das ein eine im und oder mit für von bei nach bitte danke liebe lieber "
-    "le la les un une des du et ou avec pour par merci bonjour el los las una y o con por gracias hola null select where group order join into values set".split()
+    "le la les un une des du et ou avec pour par merci bonjour el los las una y o con por gracias hola null select where group order join into values set "
+    "neither either nor both so yet then than there here who whom which what how why whether because since until unless although though however therefore thus also only even never always now suppose let such".split()
 )
 #: Capitals in prose that name something else: days, months, institutions and parts of place names.
 _ELSE = frozenset(
