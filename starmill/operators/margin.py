@@ -30,8 +30,11 @@ def with_negatives(spark: SparkSession, partitions: DataFrame) -> DataFrame:
     return spark.createDataFrame(sorted(pixels) + complement(pixels), "Norder int, Npix bigint")
 
 
-def margin_pairs(partitions: DataFrame, margin_order: int) -> DataFrame:
-    """The pairs of all partitions (Norder, Npix), by margin pixel; every partition is coarser than ``margin_order``."""
+def margin_pairs(partitions: DataFrame, margin_order: int, ordered: bool = True) -> DataFrame:
+    """The pairs of all partitions (Norder, Npix); every partition is coarser than ``margin_order``.
+
+    ordered: by margin pixel; a sort finds its ranges by making the pairs once more, so joins do without.
+    """
 
     def rings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -40,7 +43,7 @@ def margin_pairs(partitions: DataFrame, margin_order: int) -> DataFrame:
                 yield pd.DataFrame({"partition_order": order, "partition_pixel": pixel, "margin_pixel": ring}).astype({"partition_order": "int32"})
 
     found = partitions.select("Norder", "Npix").mapInPandas(rings, "partition_order int, partition_pixel bigint, margin_pixel bigint")
-    return found.orderBy("margin_pixel", "partition_order", "partition_pixel")
+    return found.orderBy("margin_pixel", "partition_order", "partition_pixel") if ordered else found
 
 
 def at_edges(cells: DataFrame, pairs: DataFrame, cell: str, limit: int = EDGE_LIMIT) -> DataFrame:

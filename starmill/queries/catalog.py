@@ -192,7 +192,7 @@ def margin_pairs(spark, d):
 def margin_fine(spark, d):
     """Pairs one order below the finest partitions there can be, whose cells are still wider than the margin."""
     placed = written(_objects_placed(spark, d).drop("cell"), "placed")
-    pairs = written(margin.margin_pairs(margin.with_negatives(spark, placed), ORDER + 1), "margin_pairs")
+    pairs = written(margin.margin_pairs(margin.with_negatives(spark, placed), ORDER + 1, ordered=False), "margin_pairs")
     return margin.margin_rows(placed, pairs, "ra", "dec", ORDER + 1, MARGIN_ARCSEC / 10)
 
 
